@@ -2,11 +2,20 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidewater.llm.byte_bpe import encode_decode
 from tidewater.llm.line_dedup import dedup_lines
 from tidewater.llm.mixing import mix_sources
+from tidewater.llm.token_counts import count_tokens
+
+# Where the public vocabularies lie on the driver; point the variable at another folder to move them.
+TOKENIZERS = os.environ.get("TOKENIZER_DIR", "/opt/tokenizers")
+# Fixed value: the pattern that splits text before the merges of the rank files.
+PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -23,9 +32,27 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", F.col("_n_lines").alias("n_lines"), F.col("_n_dropped").alias("n_dropped"), F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    encoded = encode_decode(_read(spark, sf_dir, "documents").select("doc_id", "text"), f"{TOKENIZERS}/byte_bpe_multi_50k.tiktoken", PATTERN)
+    return encoded.select("doc_id", F.col("_n_tokens").alias("n_tokens"), F.col("_ids_sha256").alias("ids_sha256"), F.col("_decoded_sha256").alias("decoded_sha256"))
+
+
+def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counted = count_tokens(_read(spark, sf_dir, "documents").select("doc_id", "text"), f"{TOKENIZERS}/word_bpe_49k.json", limit=2048)
+    return counted.select(
+        "doc_id",
+        F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"),
+        F.col("_n_tokens").alias("n_tokens"),
+        (F.col("_n_tokens") > 2048).alias("over_limit"),
+        F.col("_fits_chars").alias("fits_chars"),
+    )
+
+
 QUERIES = {
     "op1_mix_sources": op1_mix_sources,
     "op4_line_dedup": op4_line_dedup,
+    "op6_byte_bpe": op6_byte_bpe,
+    "op8_token_counts": op8_token_counts,
 }
 
 ORACLE_SQL = {
