@@ -8,8 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewater.llm.byte_bpe import encode_decode
+from tidewater.llm.language_id import identify_language, is_held_out, train_language_id
 from tidewater.llm.line_dedup import dedup_lines
 from tidewater.llm.mixing import mix_sources
+from tidewater.llm.secrets import find_secrets, span_text
 from tidewater.llm.token_counts import count_tokens
 
 # Where the public vocabularies lie on the driver; point the variable at another folder to move them.
@@ -32,6 +34,13 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", F.col("_n_lines").alias("n_lines"), F.col("_n_dropped").alias("n_dropped"), F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = train_language_id(docs.where(~is_held_out()))
+    named = identify_language(docs.select("doc_id", "text"), model)
+    return named.select("doc_id", is_held_out().alias("held_out"), F.col("_lang").alias("lang_pred"), F.col("_score").alias("score"), F.col("_ambiguous").alias("ambiguous"))
+
+
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     encoded = encode_decode(_read(spark, sf_dir, "documents").select("doc_id", "text"), f"{TOKENIZERS}/byte_bpe_multi_50k.tiktoken", PATTERN)
     return encoded.select("doc_id", F.col("_n_tokens").alias("n_tokens"), F.col("_ids_sha256").alias("ids_sha256"), F.col("_decoded_sha256").alias("decoded_sha256"))
@@ -48,11 +57,20 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = find_secrets(_read(spark, sf_dir, "documents").select("doc_id", "text"))
+    n = lambda kind: F.size(F.filter("_spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    base = F.filter("_spans", lambda s: s["base"])
+    return found.select("doc_id", n("assign"), n("access"), n("hex"), F.sha2(span_text(base), 256).alias("base_sha256"), span_text(F.col("_spans")).alias("spans"))
+
+
 QUERIES = {
     "op1_mix_sources": op1_mix_sources,
     "op4_line_dedup": op4_line_dedup,
+    "op5_language_id": op5_language_id,
     "op6_byte_bpe": op6_byte_bpe,
     "op8_token_counts": op8_token_counts,
+    "op9_secrets": op9_secrets,
 }
 
 ORACLE_SQL = {
