@@ -11,6 +11,7 @@ from tidewater.llm.byte_bpe import encode_decode
 from tidewater.llm.language_id import identify_language, is_held_out, train_language_id
 from tidewater.llm.line_dedup import dedup_lines
 from tidewater.llm.mixing import mix_sources
+from tidewater.llm.ngram_join import jaccard_groups
 from tidewater.llm.secrets import find_secrets, span_text
 from tidewater.llm.token_counts import count_tokens
 
@@ -29,6 +30,11 @@ def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", F.col("_size").alias("size"), F.col("_source_size").alias("source_size"), F.col("_target").alias("target"), F.col("_taken").alias("taken"))
 
 
+def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    grouped = jaccard_groups(_read(spark, sf_dir, "documents").select("doc_id", "text"), k=4, percent=85)
+    return grouped.select(F.col("_id").alias("doc_id"), F.col("_n_shingles").alias("n_shingles"), F.col("_group").alias("component_id"))
+
+
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = dedup_lines(_read(spark, sf_dir, "documents").select("doc_id", "text"))
     return kept.select("doc_id", F.col("_n_lines").alias("n_lines"), F.col("_n_dropped").alias("n_dropped"), F.sha2("text", 256).alias("kept_sha256"))
@@ -66,6 +72,7 @@ def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_mix_sources": op1_mix_sources,
+    "op2_ngram_join": op2_ngram_join,
     "op4_line_dedup": op4_line_dedup,
     "op5_language_id": op5_language_id,
     "op6_byte_bpe": op6_byte_bpe,
