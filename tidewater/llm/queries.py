@@ -7,7 +7,9 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidewater.llm.ann import nearest
 from tidewater.llm.byte_bpe import encode_decode
+from tidewater.llm.embedding_dedup import embedding_groups
 from tidewater.llm.language_id import identify_language, is_held_out, train_language_id
 from tidewater.llm.line_dedup import dedup_lines
 from tidewater.llm.mixing import mix_sources
@@ -52,6 +54,10 @@ def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoded.select("doc_id", F.col("_n_tokens").alias("n_tokens"), F.col("_ids_sha256").alias("ids_sha256"), F.col("_decoded_sha256").alias("decoded_sha256"))
 
 
+def op7_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(_read(spark, sf_dir, "embeddings").select("vec_id", "embedding"), F.col("vec_id") % 50 == 0, k=5)
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     counted = count_tokens(_read(spark, sf_dir, "documents").select("doc_id", "text"), f"{TOKENIZERS}/word_bpe_49k.json", limit=2048)
     return counted.select(
@@ -70,14 +76,21 @@ def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", n("assign"), n("access"), n("hex"), F.sha2(span_text(base), 256).alias("base_sha256"), span_text(F.col("_spans")).alias("spans"))
 
 
+def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    grouped = embedding_groups(_read(spark, sf_dir, "embeddings").select("vec_id", "embedding"), cosine=0.9)
+    return grouped.select(F.col("_id").alias("vec_id"), F.col("_n_links").alias("n_links"), F.col("_component").alias("component_id"), F.col("_kept").alias("kept"))
+
+
 QUERIES = {
     "op1_mix_sources": op1_mix_sources,
     "op2_ngram_join": op2_ngram_join,
     "op4_line_dedup": op4_line_dedup,
     "op5_language_id": op5_language_id,
     "op6_byte_bpe": op6_byte_bpe,
+    "op7_nearest": op7_nearest,
     "op8_token_counts": op8_token_counts,
     "op9_secrets": op9_secrets,
+    "op10_embedding_dedup": op10_embedding_dedup,
 }
 
 ORACLE_SQL = {
