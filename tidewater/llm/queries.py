@@ -14,6 +14,7 @@ from tidewater.llm.language_id import identify_language, is_held_out, train_lang
 from tidewater.llm.line_dedup import dedup_lines
 from tidewater.llm.mixing import mix_sources
 from tidewater.llm.ngram_join import jaccard_groups
+from tidewater.llm.quality import classify_quality
 from tidewater.llm.secrets import find_secrets, span_text
 from tidewater.llm.token_counts import count_tokens
 
@@ -37,6 +38,12 @@ def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grouped.select(F.col("_id").alias("doc_id"), F.col("_n_shingles").alias("n_shingles"), F.col("_group").alias("component_id"))
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = classify_quality(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+    names = {"_id": "doc_id", "_n": "n_scored", "_perplexity": "perplexity", "_low": "low", "_high": "high", "_kept": "kept"}
+    return scored.select(*[F.col(a).alias(b) for a, b in names.items()])
+
+
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = dedup_lines(_read(spark, sf_dir, "documents").select("doc_id", "text"))
     return kept.select("doc_id", F.col("_n_lines").alias("n_lines"), F.col("_n_dropped").alias("n_dropped"), F.sha2("text", 256).alias("kept_sha256"))
@@ -84,6 +91,7 @@ def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_mix_sources": op1_mix_sources,
     "op2_ngram_join": op2_ngram_join,
+    "op3_quality": op3_quality,
     "op4_line_dedup": op4_line_dedup,
     "op5_language_id": op5_language_id,
     "op6_byte_bpe": op6_byte_bpe,
