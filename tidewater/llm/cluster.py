@@ -4,20 +4,25 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the checkpoint folder that the cluster shares and read it from there.
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The folder that the cluster shares for what is cut.
 
-    The folder is the one named by ``spark.checkpoint.dir``.  Where that is unset, as in
-    tests on one machine, a temporary folder serves.
+    It is the one named by ``spark.checkpoint.dir``.  Where that is unset, as in tests on one
+    machine, a temporary folder serves.
     """
-    context = df.sparkSession.sparkContext
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="tidewater-checkpoint-"))
+        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tidewater-checkpoint-"))
+    return context.getCheckpointDir()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Write ``df`` to the shared checkpoint folder and read it from there."""
+    checkpoint_folder(df.sparkSession)
     return df.checkpoint()
 
 
