@@ -1,0 +1 @@
+"""Column types, aggregates and scalar functions."""

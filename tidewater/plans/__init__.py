@@ -1,0 +1 @@
+"""Schema changes, migrations and generated records."""

@@ -1,0 +1 @@
+"""Finishers that run beside the caller."""
