@@ -8,6 +8,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+EDGES = 50_000  # edges to a task, about, where components are found
+
+
 def checkpoint_folder(spark: SparkSession) -> str:
     """The folder that the cluster shares for what is cut.
 
@@ -20,10 +23,15 @@ def checkpoint_folder(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared checkpoint folder and read it from there."""
+def cut(df: DataFrame, rows: int | None = None) -> DataFrame:
+    """Write ``df`` to the shared checkpoint folder and read it from there.
+
+    With ``rows``, as many tasks read it as have about so many rows, so a small frame isn't
+    dealt over all the tasks of a large one.
+    """
     checkpoint_folder(df.sparkSession)
-    return df.checkpoint()
+    df = df.checkpoint()
+    return df if rows is None else df.coalesce(df.count() // rows + 1)
 
 
 def broadcast_if_small(df: DataFrame, rows: int) -> DataFrame:
@@ -47,7 +55,7 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     node with very many neighbours is pre-aggregated before the shuffle and never collected.
     Only nodes that occur in an edge are returned; an empty graph gives an empty frame.
     """
-    pairs = cut(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
+    pairs = cut(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), EDGES)
     before = None
     for _ in range(rounds):
         both = pairs.select(F.col("u").alias("x"), F.col("v").alias("y")).unionByName(pairs.select(F.col("v").alias("x"), F.col("u").alias("y")))
@@ -60,7 +68,8 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         pairs = cut(
             moved.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
             .unionByName(lower.select("u", F.col("m").alias("v")))
-            .distinct()
+            .distinct(),
+            EDGES,
         )
         # a star forest is reached when the stars repeat themselves
         now = pairs.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()

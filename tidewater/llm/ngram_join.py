@@ -8,7 +8,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewater.llm.cluster import broadcast_if_small, components, cut
@@ -18,6 +18,9 @@ COUNTERS = 1 << 22  # of the sketch that tells long lists from short ones; a fix
 SEGMENT = 1 << 16
 FAN_IN = 32
 CELLS = 128  # of the histogram of a set that bounds overlaps
+TURNS = 2  # before all remaining pairs are taken
+LIKELY = 4  # candidates of a document that a turn verifies
+GROUPED = 1_000_000  # named nodes, of two numbers each, that may be broadcast
 
 
 def _least_overlap(n: np.ndarray, percent: int) -> np.ndarray:
@@ -69,6 +72,22 @@ def list_lengths(docs: DataFrame, text_col: str, k: int) -> np.ndarray:
     return logs
 
 
+def _named_sets(docs: DataFrame, k: int) -> DataFrame:
+    """For each row: id, n, and two fingerprints of its set."""
+
+    def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            made = [(len(own), *_fingerprints(own)) for own in shingle_sets(raw_texts(batch.column(1)), k)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(x, pa.int64()) for x in zip(*made)]], ["id", "n", "one", "two"])
+
+    return docs.mapInArrow(name, f"id {docs.schema['id'].dataType.simpleString()}, n long, one long, two long")
+
+
+def _fingerprints(own: np.ndarray) -> tuple[int, int]:
+    sums = (mix(own ^ np.uint64(salt)).sum(dtype=np.uint64) for salt in (0, 0xA5A5A5A5A5A5A5A5))
+    return tuple(int(x.view(np.int64)) for x in sums)  # type: ignore[return-value]
+
+
 def _described(docs: DataFrame, lengths, k: int, percent: int) -> DataFrame:
     """For each row: id, n, two fingerprints of its set, its histogram, and the shingles with the shortest lists.
 
@@ -82,9 +101,10 @@ def _described(docs: DataFrame, lengths, k: int, percent: int) -> DataFrame:
             for own in shingle_sets(raw_texts(batch.column(1)), k):
                 n = len(own)
                 sizes.append(n)
-                ones.append(int(mix(own).sum(dtype=np.uint64).view(np.int64)))
-                twos.append(int(mix(own ^ np.uint64(0xA5A5A5A5A5A5A5A5)).sum(dtype=np.uint64).view(np.int64)))
-                grams.append(np.minimum(np.bincount((own >> np.uint64(40)).astype(np.int64) % CELLS, minlength=CELLS), 65535).astype(np.uint16).tobytes())
+                one, two = _fingerprints(own)
+                ones.append(one)
+                twos.append(two)
+                grams.append(np.minimum(np.bincount((own >> np.uint64(40)).astype(np.int64) % CELLS, minlength=CELLS), 255).astype(np.uint8).tobytes())
                 order = np.lexsort((own, lengths.value[(own & np.uint64(COUNTERS - 1)).astype(np.int64)]))
                 shorts.append(own[order[: n - int(_least_overlap(np.int64(n), percent)) + 1 if n else 0]].view(np.int64))
             yield pa.RecordBatch.from_arrays(
@@ -95,7 +115,7 @@ def _described(docs: DataFrame, lengths, k: int, percent: int) -> DataFrame:
     return docs.mapInArrow(describe, f"id {docs.schema['id'].dataType.simpleString()}, n long, one long, two long, cells binary, short array<long>")
 
 
-def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, np.ndarray]]:
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
     """Sorted postings with only whole lists in each piece; lists of one are left out."""
     rest: pa.Table | None = None
     for batch in batches:
@@ -108,16 +128,15 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, np.ndarray]]:
         last = int(np.searchsorted(gram, gram[-1], side="left"))
         rest = table.slice(last)
         if last:
-            yield _lists(table.slice(0, last))
+            yield _shared(table.slice(0, last))
     if rest is not None and rest.num_rows:
-        yield _lists(rest)
+        yield _shared(rest)
 
 
-def _lists(table: pa.Table) -> dict[str, np.ndarray]:
-    out = {c: table.column(c).to_numpy() for c in table.column_names}
-    same = out["gram"][1:] == out["gram"][:-1]
-    shared = np.concatenate([same, [False]]) | np.concatenate([[False], same])
-    return {c: v[shared] for c, v in out.items()}
+def _shared(table: pa.Table) -> pa.Table:
+    gram = table.column("gram").to_numpy()
+    same = gram[1:] == gram[:-1]
+    return table.filter(pa.array(np.concatenate([same, [False]]) | np.concatenate([[False], same])))
 
 
 def _spans(gram: np.ndarray) -> Iterator[tuple[int, int]]:
@@ -125,67 +144,88 @@ def _spans(gram: np.ndarray) -> Iterator[tuple[int, int]]:
     yield from zip(cuts[:-1].tolist(), cuts[1:].tolist())
 
 
-def _pairs_from_lists(postings: DataFrame, percent: int, across: bool) -> DataFrame:
-    """Candidate pairs (a, b, hits) from the merged short lists, each sorted by set size.
+def _merged_lists(classes: DataFrame) -> DataFrame:
+    """Postings (gram, id, n, cells) of the short lists that hold two sets or more, each list in one piece."""
+
+    def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in _runs(batches):
+            yield from table.combine_chunks().to_batches()
+
+    listed = classes.select(F.explode("short").alias("gram"), "id")
+    merged = cut(listed.repartition("gram").sortWithinPartitions("gram").mapInArrow(shared, "gram long, id long"))
+    return cut(merged.join(classes.select("id", "n", "cells"), "id").select("gram", "id", "n", "cells").repartition("gram").sortWithinPartitions("gram"))
+
 
-    First pass: each document pairs with the smallest set of its list that its size allows, so a
-    list yields no more pairs than it has entries.  Second pass (``across``): only pairs of
-    different components remain, and all of those are kept.
+def _cells(column: pa.ChunkedArray) -> np.ndarray:
+    arrays = [np.frombuffer(b"".join(c.to_pylist()), np.uint8) for c in column.chunks]
+    return (np.concatenate(arrays) if arrays else np.zeros(0, np.uint8)).reshape(-1, CELLS).astype(np.int16)
+
+
+def _possible(i: np.ndarray, j: np.ndarray, sizes: np.ndarray, cells: np.ndarray, percent: int) -> np.ndarray:
+    """Which pairs' histograms allow the overlap: cells that differ are shingles that aren't shared."""
+    out = np.zeros(len(i), bool)
+    for k in range(0, len(i), 1 << 14):
+        x, y = i[k : k + (1 << 14)], j[k : k + (1 << 14)]
+        total = sizes[x] + sizes[y]
+        most = (total - np.abs(cells[x] - cells[y]).sum(axis=1, dtype=np.int64)) // 2
+        out[k : k + (1 << 14)] = 100 * most >= percent * (total - most)
+    return out
+
+
+def _candidates(lists: DataFrame, grouped: DataFrame | None, percent: int, turn: int | None) -> DataFrame:
+    """Candidate pairs (a, b, hits) of different groups from the merged lists.
+
+    With a ``turn``, each set of a list meets those 1, 2, 4, 8, ... places before it in an order
+    that the turn shuffles, so a list of n makes at most n log n pairs.  Without one it meets all
+    others that its size allows.  Only pairs whose histograms allow a link are passed on.
     """
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, waiting = [], 0
-        for lists in _runs(batches):
-            n, ids, group = lists["n"], lists["id"], lists["group"]
-            for begin, end in _spans(lists["gram"]):
-                sizes, own = n[begin:end], group[begin:end]
-                if across:
-                    if own.min() == own.max():
-                        continue
-                    reach = np.searchsorted(sizes, sizes * 100 // percent, side="right")
-                    for i in range(end - begin - 1):
-                        j = np.arange(i + 1, reach[i])
-                        j = j[own[j] != own[i]]
-                        if len(j):
-                            held.append(np.stack([np.full(len(j), ids[begin + i]), ids[begin + j]]))
-                            waiting += len(j)
+        for table in _runs(batches):
+            grams, ns, ids, groups = (table.column(c).to_numpy() for c in ("gram", "n", "id", "group"))
+            cells = _cells(table.column("cells"))
+            for begin, end in _spans(grams):
+                f, group = end - begin, groups[begin:end]
+                if group.min() == group.max():
+                    continue
+                if turn is None:
+                    order = np.argsort(ns[begin:end], kind="stable") + begin
+                    reach = np.searchsorted(ns[order], ns[order] * 100 // percent, side="right").tolist()
+                    meetings = ((np.full(r - x - 1, x), np.arange(x + 1, r)) for x, r in enumerate(reach) if r > x + 1)
                 else:
-                    hub = np.searchsorted(sizes, _least_overlap(sizes, percent), side="left")
-                    hub = np.minimum(hub, np.arange(end - begin))
-                    other = ids[begin + hub] != ids[begin:end]
-                    held.append(np.stack([ids[begin + hub][other], ids[begin:end][other]]))
-                    waiting += int(other.sum())
-                if waiting > 1 << 18:
+                    order = np.argsort(mix(ids[begin:end].view(np.uint64) + np.uint64(turn * 7919))) + begin
+                    meetings = ((np.arange(f - (1 << s)), np.arange(1 << s, f)) for s in range((f - 1).bit_length()))
+                for x, y in meetings:
+                    x, y = order[x], order[y]
+                    fit = (groups[x] != groups[y]) & (100 * np.minimum(ns[x], ns[y]) >= percent * np.maximum(ns[x], ns[y]))
+                    x, y = x[fit], y[fit]
+                    if len(x):
+                        fit = _possible(x, y, ns, cells, percent)
+                        held.append(np.sort(np.stack([ids[x[fit]], ids[y[fit]]]), axis=0))
+                        waiting += int(fit.sum())
+                if waiting > 1 << 17:
                     yield _counted(held)
                     held, waiting = [], 0
         if waiting:
             yield _counted(held)
 
-    sorted_lists = postings.repartition("gram").sortWithinPartitions("gram", "n", "id")
-    pairs = sorted_lists.mapInArrow(merge, "a long, b long, hits long")
-    return pairs.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.sum("hits").alias("hits")).where("a <> b")
+    met = lists.withColumn("group", F.col("id"))
+    if grouped is not None:
+        names = grouped.select(F.col("node").alias("id"), "component")
+        few = names.limit(GROUPED + 1).count() <= GROUPED
+        met = lists.join(F.broadcast(names) if few else names, "id", "left").withColumn("group", F.coalesce("component", "id"))
+        if not few:  # a broadcast leaves the lists in their order
+            met = met.repartition("gram").sortWithinPartitions("gram")
+    pairs = met.select("gram", "n", "id", "group", "cells").mapInArrow(merge, "a long, b long, hits long")
+    return pairs.groupBy("a", "b").agg(F.sum("hits").alias("hits")).where("a <> b")
 
 
 def _counted(held: list[np.ndarray]) -> pa.RecordBatch:
-    pairs = np.concatenate(held, axis=1)
-    pairs, hits = np.unique(pairs, axis=1, return_counts=True)
+    pairs, hits = np.unique(np.concatenate(held, axis=1), axis=1, return_counts=True)
     return pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1]), pa.array(hits.astype(np.int64))], ["a", "b", "hits"])
 
 
-def _possible(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs whose histograms allow the overlap: cells that differ are shingles that aren't shared."""
-
-    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, 4096):
-            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint16).reshape(-1, CELLS).astype(np.int64) for c in ("cells_a", "cells_b"))
-            total = batch.column("n_a").to_numpy() + batch.column("n_b").to_numpy()
-            most = (total - np.abs(x - y).sum(axis=1)) // 2
-            yield batch.select(["a", "b", "hits"]).filter(pa.array(100 * most >= percent * (total - most)))
-
-    side = lambda c: sets.select(F.col("id").alias(c), F.col("n").alias(f"n_{c}"), F.col("cells").alias(f"cells_{c}"))
-    return pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(keep, "a long, b long, hits long")
-
-
 def _linked(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
     """Pairs whose whole sets overlap enough: every shingle of one is binary-probed in the other's sorted set."""
 
@@ -223,10 +263,10 @@ def jaccard_groups(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str =
     Equal sets meet by fingerprint, so copies count once.  For the others every set is indexed
     under its n - T + 1 shingles with the shortest lists, where T is the least overlap that a
     link needs; merged lists give candidates, histograms drop those that can't reach T, and the
-    long lists are answered by binary probes of whole sets.  A first pass joins each document
-    with one candidate; a second takes all candidate pairs that are still in different groups,
-    so a large group of near copies is never expanded into its pairs, and no link between groups
-    is lost.
+    long lists are answered by binary probes of whole sets.  First turns verify a few likely
+    candidates of each document; the last takes all candidate pairs that are still in different
+    groups, so a large group of near copies isn't expanded into its pairs, and no link between
+    groups is lost.
 
     Ids are long numbers.  A row without an id keeps a null group; rows that repeat an id are one
     document whose texts may each link.  Extra columns play no part, empty tables give no rows.
@@ -234,23 +274,25 @@ def jaccard_groups(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str =
     spark, percent = docs.sparkSession, int(percent)
     plain = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     lengths = spark.sparkContext.broadcast(list_lengths(plain, "text", k))
-    rows = _described(plain, lengths, k, percent)
     classes = cut(
-        rows.where("n > 0 and id is not null")
+        _described(plain, lengths, k, percent).where("n > 0 and id is not null")
         .groupBy("one", "two")
         .agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("cells").alias("cells"), F.first("short").alias("short"))
     )
-    sets = classes.select("id", "n", "cells")
-    listed = classes.select("id", "n", F.explode("short").alias("gram"))
-    first = _possible(_pairs_from_lists(listed.withColumn("group", F.col("id")), percent, False), sets, percent)
-    tried = cut(first.groupBy("b").agg(F.max_by("a", F.struct("hits", "a")).alias("a")).select("a", "b"))
-    plain_classes = plain.where("id is not null")
-    links = cut(_linked(tried, plain_classes, k, percent))
-    grouped = components(links)
-    labelled = listed.join(grouped.select(F.col("node").alias("id"), "component"), "id", "left").select("id", "n", "gram", F.coalesce("component", "id").alias("group"))
-    second = cut(_possible(_pairs_from_lists(labelled, percent, True), sets, percent).join(tried, ["a", "b"], "left_anti").select("a", "b"))
-    grouped = components(links.unionByName(_linked(second, plain_classes, k, percent)))
+    lists, texts = _merged_lists(classes), plain.where("id is not null")
+    grouped, links, tried = None, None, None
+    by_hits = Window.partitionBy("b").orderBy(F.col("hits").desc(), "a")
+    for turn in [*range(TURNS), None]:
+        pairs = _candidates(lists, grouped, percent, turn)
+        if turn is not None:
+            pairs = pairs.withColumn("k", F.row_number().over(by_hits)).where(F.col("k") <= LIKELY)
+        pairs = pairs.select("a", "b")
+        pairs = cut(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"))
+        tried = pairs if tried is None else tried.unionByName(pairs)
+        found = cut(_linked(pairs, texts, k, percent))
+        links = found if links is None else links.unionByName(found)
+        grouped = components(links)
     named = classes.select("one", "two", F.col("id").alias("node")).join(grouped, "node", "left").select("one", "two", F.coalesce("component", "node").alias("_group"))
-    return rows.select("id", "n", "one", "two").join(named, ["one", "two"], "left").select(
+    return _named_sets(plain, k).join(named, ["one", "two"], "left").select(
         F.col("id").alias("_id"), F.col("n").alias("_n_shingles"), F.when(F.col("id").isNotNull(), F.coalesce("_group", "id")).alias("_group")
     )
