@@ -14,7 +14,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 END = "</w>"
-CACHED = 400_000  # words, and pairs of tokens, that a worker remembers
+CACHED = 500_000  # words, beginnings of words, and pairs of tokens, that a worker remembers
+REMEMBERED = 12  # letters of the beginnings that are remembered
 
 
 def byte_letters() -> list[str]:
@@ -39,6 +40,8 @@ class PrefixCounter:
         merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
         self.ranks = {pair: i for i, pair in enumerate(merges)}
         self.longest = max(map(len, self.vocab))
+        self.whole = {t[: -len(END)] for t in self.vocab if t.endswith(END)}  # tokens that end a word
+        self.open = {t for t in self.vocab if not t.endswith(END)}
         self.letters = byte_letters()
         split = next(p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
         self.words = regex.compile(split)
@@ -46,6 +49,7 @@ class PrefixCounter:
         self.special = regex.compile("|".join(map(regex.escape, special)) or r"(?!)")
         self.pairs: dict[tuple[str, str], bool] = {}
         self.counts: dict[str, int] = {}
+        self.opened: dict[str, tuple[str, int]] = {}
 
     def merged(self, symbols: list[str]) -> list[str]:
         """Plain BPE of a few symbols: for checking pairs of tokens only."""
@@ -73,20 +77,31 @@ class PrefixCounter:
 
     def _last(self, text: str, at: int, ending: str, last: list[str]) -> tuple[str, int]:
         """The last token of text[:at], with or without the word's end, and where it begins."""
+        known, pairs = self.whole if ending else self.open, self.pairs
         for begin in range(max(0, at - self.longest), at):
-            token = text[begin:at] + ending
-            if token in self.vocab and self.follows(last[begin], token):
-                return token, begin
+            token = text[begin:at]
+            if token in known:
+                token += ending
+                found = pairs.get((last[begin], token))
+                if found or found is None and self.follows(last[begin], token):
+                    return token, begin
         raise ValueError(f"no token ends at {at}")
 
     def word_prefixes(self, word: str) -> tuple[list[int], list[str], str]:
         """For every prefix of the word's byte letters: its count as an open prefix, and its last token."""
-        text = "".join([self.letters[b] for b in word.encode()])
-        counts, last = [0], [""]
+        text = word if word.isascii() and word.isprintable() else "".join([self.letters[b] for b in word.encode()])
+        counts, last, opened = [0], [""], self.opened
         for at in range(1, len(text)):
-            token, begin = self._last(text, at, "", last)
-            counts.append(counts[begin] + 1)
-            last.append(token)
+            found = opened.get(text[:at]) if at <= REMEMBERED else None
+            if found is None:
+                token, begin = self._last(text, at, "", last)
+                found = token, counts[begin] + 1
+                if at <= REMEMBERED:
+                    opened[text[:at]] = found
+            last.append(found[0])
+            counts.append(found[1])
+        if len(opened) > CACHED:
+            opened.clear()
         return counts, last, text
 
     def word_count(self, word: str) -> int:
