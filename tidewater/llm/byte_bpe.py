@@ -136,7 +136,10 @@ class ByteBpe:
                 around = np.unique(np.concatenate([here - 1, here]))
                 around = around[(around >= 0) & (around < len(merged) - 1)]
                 kept_ranks[around] = self.pairs.lookup(merged[around], merged[around + 1])
-                if len(chosen) == 1 or not len(around) or kept_ranks[around].min() > best:
+                # between two merges side by side the first one's new pair stands for a moment
+                passing = chosen[chosen + 2 < len(ids)]
+                passing = self.pairs.lookup(np.full(len(passing), best), ids[passing + 2])
+                if len(chosen) == 1 or min(kept_ranks[around].min(initial=NONE), passing.min(initial=NONE)) > best:
                     break
             ids, ranks = merged, kept_ranks
         return ids.tolist()
