@@ -46,7 +46,7 @@ def plan_filters(n: int, d: int, cosine: float, members: int = 48, missed: float
     """
     normal = NormalDist()
     share = min(0.04, members / max(1, n))
-    z = normal.inv_cdf(1 - share)
+    z = min(normal.inv_cdf(1 - share), 0.75 * math.sqrt(d))  # in few dimensions caps that small would hold nothing
     steps = np.linspace(z, z + 8, 2000)
     density = np.exp(-(steps**2) / 2) / math.sqrt(2 * math.pi)
     beyond = np.array([1 - normal.cdf((z - cosine * x) / math.sqrt(1 - cosine**2)) for x in steps])
