@@ -113,6 +113,7 @@ def test_crud(spark):
     assert [h.name for h in m.records(Human, m.query(Human).where("id", 1).all())] == ["Anna"]
     with pytest.raises(ValueError):
         m.single(Human)
+    assert m.delete_where(Human, lambda w: w.where("id", ">=", 11)) == 3 and m.delete_where(Human, lambda w: w.where("name", "=", None)) == 0
 
 
 def test_changes_as_frames(engine):

@@ -265,6 +265,15 @@ class Mapper:
         self.engine.replace(record.table_name, delete_rows(table, rows, key))
         return before - self.engine.frame(record.table_name).count()
 
+    def delete_where(self, record: type[Record], where: Any) -> int:
+        """Remove the records of which a condition is true; the number that went."""
+        from tidewater.operators.changes import delete
+
+        table = self.engine.frame(record.table_name)
+        before = table.count()
+        self.engine.replace(record.table_name, delete(table, where))
+        return before - self.engine.frame(record.table_name).count()
+
     @staticmethod
     def _by_key(where: Any, record: Record) -> Any:
         for f in record.keys():

@@ -6,6 +6,7 @@ import uuid
 from collections.abc import Iterable, Iterator
 from typing import Any
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Row, SparkSession
 
 from tidewater.functions.types import CONVERTERS, quoted
@@ -51,9 +52,13 @@ class Engine:
     def frame(self, name: str) -> DataFrame:
         if name in self._frames:
             return self._frames[name]
-        if self.folder is not None and "." not in name and not self.spark.catalog.tableExists(quoted(name)):
-            self._frames[name] = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
-            return self._frames[name]
+        if self.folder is not None and "." not in name:
+            try:
+                self._frames[name] = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+                return self._frames[name]
+            except AnalysisException as e:
+                if e.getCondition() != "PATH_NOT_FOUND":
+                    raise
         return self.spark.table(quoted(name))
 
     def names(self) -> list[str]:
@@ -71,10 +76,14 @@ class Engine:
 
     def sql(self, text: str, *args: Any) -> DataFrame:
         """SQL with a ``?`` for each argument; every table of the engine is visible to it by name."""
-        for name, frame in self._frames.items():
-            if "." not in name:
-                frame.createOrReplaceTempView(name)
-        return run_sql(self.spark, text, *args)
+        seen = [name for name in self._frames if "." not in name]
+        for name in seen:
+            self._frames[name].createOrReplaceTempView(quoted(name))
+        try:
+            return run_sql(self.spark, text, *args)  # resolves the names, so the views may go
+        finally:
+            for name in seen:
+                self.spark.catalog.dropTempView(name)
 
     def view(self, *names: str) -> "Engine":
         """Make tables visible to ``sql`` before they are used otherwise."""
