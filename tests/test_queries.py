@@ -23,7 +23,7 @@ def duck():
 
 def rows(frame: pd.DataFrame) -> list[str]:
     def plain(v):
-        if v is None or v is pd.NaT or v != v:
+        if v is None or pd.isna(v):
             return None
         return v if isinstance(v, (str, bool, bytes)) else round(float(v), 6) if not hasattr(v, "isoformat") else v.isoformat()
 
