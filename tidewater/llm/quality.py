@@ -16,7 +16,8 @@ from tidewater.llm.cluster import broadcast_if_small, cut
 from tidewater.llm.words import slices
 
 ORDER = 4  # characters of 16 bits in a 64-bit number
-BLOCK = 1 << 24  # characters that share one slice of the model
+BLOCK = 1 << 24  # bytes of text that share one slice of the model
+GRAMS = 200_000  # n-grams to a task, about
 EDGE = 2  # stands before a text
 _BLANKS = re.compile(r"\s+")
 
@@ -54,20 +55,29 @@ def _merged(held: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.n
 
 
 def _gathered(docs: DataFrame) -> DataFrame:
-    """One row for each block: its different 4-grams and how often each occurs in trusted text, packed."""
+    """One row for each block: its rows, its different 4-grams and how often each occurs in trusted text, packed."""
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pack, now, held, waiting = zstandard.ZstdCompressor(1).compress, None, [], 0
+        now, rows, held, waiting = None, [], [], 0
+        pack = zstandard.ZstdCompressor(3).compress
+        # rows are written twice, to be cut and to meet the model; copies lie far apart
+        closely = zstandard.ZstdCompressor(compression_params=zstandard.ZstdCompressionParameters.from_level(9, enable_ldm=True, window_log=25)).compress
 
         def row() -> pa.RecordBatch:
-            own, n = _merged(held)
-            return pa.RecordBatch.from_arrays([pa.array([now]), pa.array([pack(own.tobytes())]), pa.array([pack(n.tobytes())])], ["block", "own", "times"])
+            own, n = _merged(held) if held else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, rows[0].schema) as out:
+                for x in rows:
+                    out.write_batch(x)
+            packed = [closely(sink.getvalue().to_pybytes()), pack(own.tobytes()), pack(n.tobytes())]
+            return pa.RecordBatch.from_arrays([pa.array([now]), *[pa.array([x]) for x in packed]], ["block", "rows", "own", "times"])
 
         for block, batch in _blocks(batches, 1):
-            if block != now and held:
+            if block != now and rows:
                 yield row()
-                held, waiting = [], 0
+                rows, held, waiting = [], [], 0
             now = block
+            rows.append(batch)
             for text, trusted in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
                 own = grams(text)
                 if len(own):
@@ -75,10 +85,10 @@ def _gathered(docs: DataFrame) -> DataFrame:
                     waiting += len(own)
             if waiting > 1 << 20:
                 held, waiting = [_merged(held)], 0
-        if held:
+        if rows:
             yield row()
 
-    return cut(docs.select("id", "text", "trusted").mapInArrow(gather, "block long, own binary, times binary"))
+    return cut(docs.mapInArrow(gather, "block long, rows binary, own binary, times binary"))
 
 
 def _unpacked(gathered: DataFrame) -> DataFrame:
@@ -108,8 +118,8 @@ def kneser_ney(counted: DataFrame) -> DataFrame:
     """
     seen, wanted = {ORDER: counted.where("times > 0").select("g", F.col("times").alias("c"))}, {ORDER: counted.select("g")}
     for n in range(ORDER - 1, 0, -1):
-        seen[n] = cut(seen[n + 1].groupBy(_suffix("g", n + 1).alias("g")).agg(F.count(F.lit(1)).alias("c")))
-        wanted[n] = wanted[n + 1].select(_suffix("g", n + 1).alias("g")).distinct()
+        seen[n] = cut(seen[n + 1].groupBy(_suffix("g", n + 1).alias("g")).agg(F.count(F.lit(1)).alias("c")), GRAMS)
+        wanted[n] = cut(wanted[n + 1].select(_suffix("g", n + 1).alias("g")).distinct(), GRAMS)
     kinds = wanted[1].count() + 1
     p = wanted[1].select("g", F.lit(1.0 / kinds).alias("p"))
     for n in range(1, ORDER + 1):
@@ -127,7 +137,8 @@ def kneser_ney(counted: DataFrame) -> DataFrame:
             here = here.join(seen[n], "g", "left")
         p = cut(
             here.join(around, "context", "left").join(lower, "suffix")
-            .select("g", F.coalesce((F.when(F.col("c") > 0, F.col("c") - less).otherwise(0.0) + F.col("freed") * F.col("below")) / F.col("total"), F.col("below")).alias("p"))
+            .select("g", F.coalesce((F.when(F.col("c") > 0, F.col("c") - less).otherwise(0.0) + F.col("freed") * F.col("below")) / F.col("total"), F.col("below")).alias("p")),
+            GRAMS,
         )
     return p.select("g", F.log("p").cast("float").alias("logp"))
 
@@ -137,36 +148,35 @@ def perplexities(docs: DataFrame, trusted: Column, id_col: str = "doc_id", text_
 
     Blocks of documents stand for their different 4-grams, so counts, not occurrences, are
     shuffled: to the shards that add them, and back as the block's slice of the model, which the
-    block's packed texts meet.  A block is a run of rows of an input partition; ``docs`` should
-    be a table that was read, whose partitions come out the same each time.
+    block's packed rows meet.
     """
     plain = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.coalesce(trusted, F.lit(False)).alias("trusted"), F.col(lang_col).alias("lang"))
-    blocks = _unpacked(_gathered(plain))
-    model = kneser_ney(cut(blocks.groupBy("g").agg(F.sum("times").alias("times"))))
+    # many small partitions would make many small blocks
+    size = plain.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    plain = plain.coalesce(max(size // BLOCK + 1, docs.sparkSession.sparkContext.defaultParallelism))
+    gathered = _gathered(plain)
+    blocks = _unpacked(gathered.select("block", "own", "times"))
+    model = kneser_ney(cut(blocks.groupBy("g").agg(F.sum("times").alias("times")), GRAMS))
     slices_of = blocks.select("block", "g").join(model, "g").select("block", "g", "logp")
     id_type = plain.schema["id"].dataType.simpleString()
 
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        squeeze = zstandard.ZstdCompressor(3).compress
-        for block, batch in _blocks(batches, 1):
-            packed = [squeeze((t or "").encode()) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array([block] * len(packed), pa.int64()), batch.column(0), pa.array(packed, pa.binary()), batch.column(2), batch.column(3)], ["block", "id", "packed", "trusted", "lang"])
-
-    def score(texts: pd.DataFrame, model: pd.DataFrame) -> pd.DataFrame:
+    def score(block: pd.DataFrame, model: pd.DataFrame) -> pd.DataFrame:
         order = np.argsort(model["g"].to_numpy())
         known, logp = model["g"].to_numpy()[order], model["logp"].to_numpy()[order].astype(np.float64)
-        sizes, found = [], []
-        for packed in texts["packed"]:
-            own = grams(zstandard.decompress(packed).decode()).view(np.int64) if packed else np.zeros(0, np.int64)
-            at = np.minimum(np.searchsorted(known, own), max(0, len(known) - 1))
-            if len(own) and not (known[at] == own).all():
-                raise RuntimeError("a block changed between two reads of its table")
-            sizes.append(len(own))
-            found.append(float(np.exp(-logp[at].mean())) if len(own) else None)
-        return pd.DataFrame({"id": texts["id"], "lang": texts["lang"], "trusted": texts["trusted"], "n": sizes, "perplexity": pd.array(found, "Float64")})
-
-    packed = plain.mapInArrow(pack, f"block long, id {id_type}, packed binary, trusted boolean, lang string")
-    return packed.groupBy("block").cogroup(slices_of.groupBy("block")).applyInPandas(score, f"id {id_type}, lang string, trusted boolean, n long, perplexity double")
+        out = []
+        for packed in block["rows"]:
+            rows = pa.ipc.open_stream(zstandard.decompress(packed)).read_all()
+            sizes, found = [], []
+            for text in rows.column("text").to_pylist():
+                own = grams(text).view(np.int64)
+                sizes.append(len(own))
+                found.append(float(np.exp(-logp[np.searchsorted(known, own)].mean())) if len(own) else None)
+            ids = pd.Series(rows.column("id").to_pylist(), dtype=object)
+            out.append(pd.DataFrame({"id": ids, "lang": rows.column("lang").to_pylist(), "trusted": rows.column("trusted").to_pylist(), "n": sizes, "perplexity": pd.array(found, "Float64")}))
+        return pd.concat(out)
+
+    blocks = gathered.select("block", "rows").groupBy("block").cogroup(slices_of.groupBy("block"))
+    return blocks.applyInPandas(score, f"id {id_type}, lang string, trusted boolean, n long, perplexity double")
 
 
 def classify_quality(
