@@ -14,11 +14,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidewater.llm.cluster import cut
+from tidewater.llm.words import slices
 
 BLANK = b" \t\n\x0b\x0c\r"
 SEGMENT = 1 << 16  # bytes of a filter that are merged as one row
 FAN_IN = 32  # rows merged at once, however many partitions there are
-CHUNK = 1 << 20  # hashes gathered before a filter takes them
+CHUNK = 1 << 17  # hashes gathered before a filter takes them
 
 
 def line_key(line: bytes, min_chars: int) -> bytes | None:
@@ -84,7 +85,7 @@ def twice_seen(docs: DataFrame, text_col: str, min_chars: int, bits: int) -> np.
                 _add(once, seen, bits)
                 held.clear()
 
-        for batch in batches:
+        for batch in slices(batches):
             for text in _texts(batch, "text"):
                 keys = {_hash_of(_digest(k)) for k in line_keys(text, min_chars)}
                 if keys:
@@ -112,9 +113,10 @@ def twice_seen(docs: DataFrame, text_col: str, min_chars: int, bits: int) -> np.
 
     schema = "segment int, slot int, once binary, twice binary"
     slots, parts = docs.rdd.getNumPartitions(), docs.select(F.col(text_col).alias("text")).mapInArrow(build, schema)
-    while slots > 1:
+    while slots > FAN_IN:
         parts = parts.groupBy("segment", F.floor(F.col("slot") / FAN_IN).alias("merged")).applyInPandas(merge, schema)
         slots = -(-slots // FAN_IN)
+    parts = parts.groupBy("segment").applyInPandas(merge, schema)
     found = np.zeros(bits // 8, np.uint8)
     for row in parts.select("segment", "twice").toLocalIterator():  # one filter of a fixed size
         piece = np.frombuffer(zlib.decompress(bytes(row["twice"])), np.uint8)[: len(found) - row["segment"] * SEGMENT]
@@ -154,7 +156,7 @@ def dedup_lines(
         return [k for k, hit in zip(keys, hits) if hit]
 
     def suspects(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             ids, keys = [], []
             for doc, text in zip(batch.column(0).to_pylist(), _texts(batch, "text")):
                 own = suspected(text)
@@ -173,27 +175,28 @@ def dedup_lines(
         .groupBy(F.col("id").alias("_line_id")).agg(F.collect_list("key").alias("_line_drops"))  # at most a document's lines
     )
 
-    def rewrite(batches: Iterator[pa.RecordBatch], drops_known: bool) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            n_lines, n_dropped, texts = [], [], []
-            dropped = batch.column(batch.schema.get_field_index("_line_drops")).to_pylist() if drops_known else [None] * batch.num_rows
-            for text, drop in zip(_texts(batch, text_col), dropped):
-                lines = text.split(b"\n")
-                drop = set(drop or ())
+    def flag(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            texts = _texts(batch, text_col)
+            new = [pa.array([t.count(b"\n") + 1 for t in texts], pa.int64()), pa.array([bool(suspected(t)) for t in texts], pa.bool_())]
+            columns = [pa.array(texts, pa.binary()).cast(pa.string()) if i == text_at else batch.column(i) for i in range(len(names))]
+            yield pa.RecordBatch.from_arrays([*columns, *new], [*names, "_n_lines", "_line_suspect"])
+
+    def rewrite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            n_dropped, texts = [], []
+            drops = batch.column(batch.schema.get_field_index("_line_drops")).to_pylist()
+            for text, drop in zip(_texts(batch, text_col), drops):
+                lines, drop = text.split(b"\n"), set(drop or ())
                 kept = [x for x in lines if (k := line_key(x, min_chars)) is None or _digest(k) not in drop] if drop else lines
-                n_lines.append(len(lines))
                 n_dropped.append(len(lines) - len(kept))
-                texts.append(b"\n".join(kept) if drop else text)
-            columns = [pa.array(texts, pa.binary()).cast(pa.string()) if i == text_at else batch.column(i) for i in range(len(names))]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64())], [*names, "_n_lines", "_n_dropped"])
-
-    def flag(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            flags = pa.array([bool(suspected(t)) for t in _texts(batch, text_col)], pa.bool_())
-            yield pa.RecordBatch.from_arrays([*batch.columns, flags], [*names, "_line_suspect"])
-
-    flagged = docs.mapInArrow(flag, T.StructType([*docs.schema.fields, T.StructField("_line_suspect", T.BooleanType())]))
-    schema = T.StructType([*docs.schema.fields, T.StructField("_n_lines", T.LongType()), T.StructField("_n_dropped", T.LongType())])
-    clean = flagged.where("not _line_suspect").drop("_line_suspect").mapInArrow(lambda x: rewrite(x, False), schema)
-    met = flagged.where("_line_suspect").drop("_line_suspect").join(drops, F.col(id_col).eqNullSafe(F.col("_line_id")), "left").drop("_line_id")
-    return clean.unionByName(met.mapInArrow(lambda x: rewrite(x, True), schema))
+                texts.append(b"\n".join(kept))
+            columns = [pa.array(texts, pa.binary()).cast(pa.string()) if i == text_at else batch.column(i) for i in range(len(names) + 1)]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(n_dropped, pa.int64())], [*names, "_n_lines", "_n_dropped"])
+
+    counted = T.StructType([*docs.schema.fields, T.StructField("_n_lines", T.LongType())])
+    flagged = docs.mapInArrow(flag, T.StructType([*counted.fields, T.StructField("_line_suspect", T.BooleanType())]))
+    clean = flagged.where("not _line_suspect").drop("_line_suspect").withColumn("_n_dropped", F.lit(0).cast("long"))
+    # a merge join parts the two Python steps: in one stage each task would hold two workers
+    met = flagged.where("_line_suspect").drop("_line_suspect").join(drops.hint("merge"), F.col(id_col).eqNullSafe(F.col("_line_id")), "left").drop("_line_id")
+    return clean.unionByName(met.mapInArrow(rewrite, T.StructType([*counted.fields, T.StructField("_n_dropped", T.LongType())])))
