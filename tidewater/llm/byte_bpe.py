@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -13,10 +14,12 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from tidewater.llm.words import slices
+
 NONE = np.int32(2**31 - 1)  # the rank of a pair that doesn't merge
 LONG = 256  # longer pieces are merged one by one
 CHARS = 1 << 20  # characters of text that are split before their new pieces are encoded
-CACHED = 300_000  # pieces that a worker remembers
+CACHED = 250_000  # pieces that a worker remembers
 
 
 class PairTable:
@@ -60,13 +63,12 @@ class ByteBpe:
         self.ranks = ranks
         self.bytes_of = {rank: token for token, rank in ranks.items()}
         self.first = np.array([ranks[bytes([b])] for b in range(256)], np.int32)
-        pairs = [
-            (ranks[token[:k]], ranks[token[k:]], rank)
-            for token, rank in ranks.items()
-            for k in range(1, len(token))
-            if token[:k] in ranks and token[k:] in ranks
-        ]
-        self.pairs = PairTable(*np.array(pairs, np.int64).reshape(-1, 3).T)
+        pairs = array("i")
+        for token, rank in ranks.items():
+            for k in range(1, len(token)):
+                if (left := ranks.get(token[:k])) is not None and (right := ranks.get(token[k:])) is not None:
+                    pairs.extend((left, right, rank))
+        self.pairs = PairTable(*np.frombuffer(pairs, np.int32).reshape(-1, 3).T)
 
     def encode_pieces(self, pieces: list[bytes]) -> list[list[int]]:
         """The ids of every piece: the piece itself if it is a token, else the merges of its bytes."""
@@ -192,7 +194,7 @@ def encode_decode(docs: DataFrame, ranks_path: str, pattern: str, with_ids: bool
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe, split, cache = _worker_state(raw.value, pattern)
-        for batch in batches:
+        for batch in slices(batches):
             counts, digests, decoded, ids = [], [], [], []
             for texts in _chunks(batch.column(names.index(text_col)).to_pylist()):
                 pieces = [split.findall(text) for text in texts]
@@ -200,14 +202,15 @@ def encode_decode(docs: DataFrame, ranks_path: str, pattern: str, with_ids: bool
                     cache.clear()
                 fresh = list(set().union(*pieces).difference(cache))
                 for piece, own in zip(fresh, bpe.encode_pieces([p.encode() for p in fresh])):
-                    cache[piece] = (",".join(map(str, own)), bpe.decode(own), own)
+                    cache[piece] = (",".join(map(str, own)).encode(), bpe.decode(own), np.array(own, np.int32).tobytes())
                 for own in pieces:
                     found = [cache[p] for p in own]
-                    digests.append(hashlib.sha256(",".join([x[0] for x in found]).encode()).hexdigest())
+                    digests.append(hashlib.sha256(b",".join([x[0] for x in found])).hexdigest())
                     decoded.append(hashlib.sha256(b"".join([x[1] for x in found])).hexdigest())
-                    counts.append(sum([len(x[2]) for x in found]))
+                    packed = np.frombuffer(b"".join([x[2] for x in found]), np.int32)
+                    counts.append(len(packed))
                     if with_ids:
-                        ids.append([i for x in found for i in x[2]])
+                        ids.append(packed)
             new = [pa.array(counts, pa.int64()), pa.array(digests, pa.string()), pa.array(decoded, pa.string())]
             new += [pa.array(ids, pa.list_(pa.int32()))] * with_ids
             yield pa.RecordBatch.from_arrays([*batch.columns, *new], [*names, *[x.name for x in added]])
@@ -223,7 +226,7 @@ def decode_ids(encoded: DataFrame, ranks_path: str, ids_col: str = "_ids") -> Da
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = _worker_state(raw.value, ".")[0]
-        for batch in batches:
+        for batch in slices(batches):
             texts = [None if own is None else bpe.decode(own) for own in batch.column(names.index(ids_col)).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.binary())], [*names, "_decoded"])
 

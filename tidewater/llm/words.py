@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-WINDOW = 1 << 21  # bytes hashed at once
+WINDOW = 1 << 18  # bytes hashed at once
 BLANKS = np.zeros(256, bool)
 BLANKS[[0x20, *range(0x09, 0x0E)]] = True
 LOWER = np.arange(256, dtype=np.uint8)
@@ -91,7 +91,7 @@ def shingle_sets(texts: list[bytes | None], k: int) -> Iterator[np.ndarray]:
         at += count
 
 
-def slices(batches: Iterator[pa.RecordBatch], rows: int = 256, most: int = 1 << 22) -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 256, most: int = 1 << 21) -> Iterator[pa.RecordBatch]:
     """Batches of at most ``rows`` rows, and of few megabytes unless a single row is larger."""
     for batch in batches:
         step = rows
@@ -99,6 +99,7 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = 256, most: int = 1 <<
             step //= 2
         for k in range(0, batch.num_rows, step):
             yield batch.slice(k, step)
+        pa.default_memory_pool().release_unused()  # workers live on, beside others on their machine
 
 
 def raw_texts(column: pa.Array) -> list[bytes | None]:
