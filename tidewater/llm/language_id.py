@@ -83,8 +83,11 @@ def train_language_id(rows: DataFrame, per_language: int = 600, text_col: str =
     usable = rows.where(F.col(lang_col).isNotNull() & F.col(text_col).rlike(r"\p{L}")).select(
         F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.xxhash64(F.lit(23), F.col(id_col), F.length(text_col)).alias("h")
     )
-    first = Window.partitionBy("lang").orderBy("h")
-    bounds = usable.select("lang", "h").withColumn("k", F.row_number().over(first)).where(F.col("k") <= per_language).groupBy("lang").agg(F.max("h").alias("most"))
+    # the least of each part of a language first, so that a common language isn't sorted by one task
+    parts = Window.partitionBy("lang", "part").orderBy("h")
+    few = usable.select("lang", "h", F.pmod(F.col("h"), F.lit(64)).alias("part")).withColumn("k", F.row_number().over(parts)).where(F.col("k") <= per_language)
+    whole = Window.partitionBy("lang").orderBy("h")
+    bounds = few.withColumn("k", F.row_number().over(whole)).where(F.col("k") <= per_language).groupBy("lang").agg(F.max("h").alias("most"))
     bounds = bounds.collect()  # a row for each language
     if not bounds:
         return LanguageModel([], np.zeros((0, 1), np.float32), np.zeros((BUCKETS, 1), np.float32), np.zeros(1, np.float32), np.ones(1, np.float32))
