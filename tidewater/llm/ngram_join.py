@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewater.llm.cluster import broadcast_if_small, components, cut
+from tidewater.llm.cluster import EDGES, broadcast_if_small, components, cut
 from tidewater.llm.words import mix, raw_texts, shingle_sets, slices
 
 COUNTERS = 1 << 22  # of the sketch that tells long lists from short ones; a fixed size
@@ -235,22 +235,23 @@ def _linked(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFram
             own = [x.tobytes() for x in shingle_sets(raw_texts(batch.column(1)), k)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(own, pa.binary())], ["id", "own"])
 
+    def linked(x: np.ndarray, y: np.ndarray) -> bool:
+        x, y = (x, y) if len(x) <= len(y) else (y, x)
+        if not len(x):
+            return False
+        shared = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum())
+        return shared > 0 and 100 * shared >= percent * (len(x) + len(y) - shared)
+
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, 256):
-            good = []
-            for left, right in zip(batch.column("left").to_pylist(), batch.column("right").to_pylist()):
-                x, y = np.frombuffer(left, np.uint64), np.frombuffer(right, np.uint64)
-                x, y = (x, y) if len(x) <= len(y) else (y, x)
-                at = np.minimum(np.searchsorted(y, x), max(0, len(y) - 1))
-                shared = int((y[at] == x).sum()) if len(x) else 0
-                good.append(shared > 0 and 100 * shared >= percent * (len(x) + len(y) - shared))
-            yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
+        for batch in slices(batches):
+            sides = zip(*[[np.frombuffer(x, np.uint64) for x in batch.column(c).to_pylist()] for c in ("left", "right")])
+            yield batch.select(["a", "b"]).filter(pa.array([linked(x, y) for x, y in sides], pa.bool_()))
 
     wanted = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
     texts = docs.join(broadcast_if_small(wanted, 500_000), "id", "left_semi")
-    own = texts.mapInArrow(sets, "id long, own binary").distinct()
+    own = texts.mapInArrow(sets, "id long, own binary")
     met = pairs.join(own.select(F.col("id").alias("a"), F.col("own").alias("left")), "a").join(own.select(F.col("id").alias("b"), F.col("own").alias("right")), "b")
-    return met.select("a", "b", "left", "right").mapInArrow(probe, "a long, b long").distinct()
+    return met.select("a", "b", "left", "right").mapInArrow(probe, "a long, b long")
 
 
 def jaccard_groups(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -285,12 +286,13 @@ def jaccard_groups(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str =
     by_hits = Window.partitionBy("b").orderBy(F.col("hits").desc(), "a")
     for turn in [*range(TURNS), None]:
         pairs = _candidates(lists, grouped, percent, turn)
+        if tried is not None:  # no pair is verified twice
+            pairs = pairs.join(tried, ["a", "b"], "left_anti")
         if turn is not None:
             pairs = pairs.withColumn("k", F.row_number().over(by_hits)).where(F.col("k") <= LIKELY)
-        pairs = pairs.select("a", "b")
-        pairs = cut(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"))
+        pairs = cut(pairs.select("a", "b"), EDGES)
         tried = pairs if tried is None else tried.unionByName(pairs)
-        found = cut(_linked(pairs, texts, k, percent))
+        found = cut(_linked(pairs, texts, k, percent), EDGES)
         links = found if links is None else links.unionByName(found)
         grouped = components(links)
     named = classes.select("one", "two", F.col("id").alias("node")).join(grouped, "node", "left").select("one", "two", F.coalesce("component", "node").alias("_group"))
