@@ -174,6 +174,30 @@ def test_large_groups_of_near_copies_meet(spark):
     assert {r["_group"] for r in got} == {0, 600}
 
 
+@pytest.mark.parametrize("block", [512, 3])
+def test_ngram_links_are_all_counted(spark, corpus, monkeypatch, block):
+    from tidewater.llm import ngram_join
+
+    monkeypatch.setattr(ngram_join, "BLOCK", block)
+    monkeypatch.setattr(ngram_join, "COLUMNS", 50)
+    base = [f"w{i}" for i in range(60)]
+    rows = [(r[0], r[1]) for r in corpus] + [(9000 + i, " ".join([*base[: i % 50], f"new{i}", *base[i % 50 + 1 :]])) for i in range(40)]
+    # an id on two near texts, on a repeated row and with a null one; a text of no one; no words
+    rows += [(9100, " ".join(base)), (9100, " ".join(base[:58])), (9000, rows[-40][1]), (9000, None), (None, " ".join(base)), (9200, " ")]
+    sets = []
+    for _, t in rows:
+        w = WORD.findall((t or "").translate(LOWER))
+        sets.append({tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set())
+    linked = lambda x, y: bool(x & y) and 100 * len(x & y) >= 80 * len(x | y)
+    ids = [d for d, _ in rows]
+    want = [(str(d), len(x), sum(j != i and ids[j] is not None and linked(x, y) for j, y in enumerate(sets)) if d is not None else 0) for i, (d, x) in enumerate(zip(ids, sets))]
+    got = ngram_join.jaccard_groups(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(5), with_links=True).collect()
+    assert sorted((str(r["_id"]), r["_n_shingles"], r["_n_links"]) for r in got) == sorted(want)
+    assert max(n for *_, n in want) > 10
+    empty = spark.createDataFrame([], "doc_id bigint, text string")
+    assert ngram_join.jaccard_groups(empty, with_links=True).count() == 0
+
+
 # -- language ID ------------------------------------------------------------------------------
 
 

@@ -21,6 +21,9 @@ CELLS = 128  # of the histogram of a set that bounds overlaps
 TURNS = 2  # before all remaining pairs are taken
 LIKELY = 4  # candidates of a document that a turn verifies
 GROUPED = 1_000_000  # named nodes, of two numbers each, that may be broadcast
+BLOCK = 512  # sets of a group, about, that meet as many others at once
+BLOCK_SHINGLES = 1 << 19  # of such a block, about
+COLUMNS = 1 << 12  # shingles of two blocks that are multiplied at once
 
 
 def _least_overlap(n: np.ndarray, percent: int) -> np.ndarray:
@@ -254,7 +257,92 @@ def _linked(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFram
     return met.select("a", "b", "left", "right").mapInArrow(probe, "a long, b long")
 
 
-def jaccard_groups(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _overlaps(left: list[np.ndarray], right: list[np.ndarray] | None) -> np.ndarray:
+    """How many shingles each set of one side shares with each of the other, or of its own side."""
+    sets = left + (right or [])
+    grams, column = np.unique(np.concatenate(sets), return_inverse=True)
+    row = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    if right is None:
+        met = np.bincount(column) > 1
+    else:
+        own = row < len(left)
+        met = (np.bincount(column[own], minlength=len(grams)) > 0) & (np.bincount(column[~own], minlength=len(grams)) > 0)
+    kept = met[column]
+    row, column = row[kept], (np.cumsum(met) - 1)[column[kept]]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    out = np.zeros((len(left), len(right or left)), np.int64)
+    for at in range(0, int(met.sum()), COLUMNS):
+        begin, end = np.searchsorted(column, [at, at + COLUMNS])
+        cells = np.zeros((len(sets), COLUMNS if at + COLUMNS <= met.sum() else int(met.sum()) - at), np.float32)
+        cells[row[begin:end], column[begin:end] - at] = 1
+        out += (cells[: len(left)] @ (cells if right is None else cells[len(left) :]).T).astype(np.int64)
+    return out
+
+
+def _link_counts(classes: DataFrame, grouped: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """``(c, links)``: with how many rows of other classes each class links.
+
+    Every link lies inside a group, so each group is dealt into blocks, and each pair of its
+    blocks meets in one piece that verifies all its pairs of sets.  A piece passes on sums for
+    its classes, no pairs.
+    """
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, sides, done, waiting = None, ({}, {}), [], 0
+
+        def settled(low: int, high: int) -> None:
+            nonlocal waiting
+            names, times, sets = [[[x[i] for x in side.values()] for side in sides] for i in range(3)]
+            if low == high and len(sets[0]) > 1 or low != high and sets[0] and sets[1]:
+                n = [np.array([len(x) for x in side], np.int64) for side in sets]
+                shared = _overlaps(sets[0], None if low == high else sets[1])
+                linked = (shared > 0) & (100 * shared >= percent * (n[0][:, None] + n[low != high] - shared))
+                if low == high:
+                    np.fill_diagonal(linked, False)
+                    done.append((names[0], linked @ np.array(times[0])))
+                else:
+                    done.extend([(names[0], linked @ np.array(times[1])), (names[1], np.array(times[0]) @ linked)])
+                waiting += len(names[0]) + len(names[1])
+            for side in sides:
+                side.clear()
+
+        def summed() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.array(x[i], np.int64) for x in done])) for i in (0, 1)], ["c", "links"])
+
+        for batch in slices(batches):
+            facts = batch.select(["component", "low", "high", "own", "c", "times", "one", "two"]).to_pydict()
+            for component, low, high, own, c, times, one, two, owned in zip(*facts.values(), shingle_sets(raw_texts(batch.column("text")), k)):
+                if (component, low, high) != now:
+                    if now is not None:
+                        settled(*now[1:])
+                    now = component, low, high
+                side = sides[own != low]
+                if c not in side and _fingerprints(owned) == (one, two):  # rows that repeat an id may have other texts
+                    side[c] = c, times, owned
+            if waiting > 1 << 14:
+                yield summed()
+                done, waiting = [], 0
+        if now is not None:
+            settled(*now[1:])
+        if done:
+            yield summed()
+
+    members = classes.join(grouped, F.col("id") == F.col("node"), "left").withColumn("component", F.coalesce("component", "id"))
+    blocks = F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK, F.sum("n") / BLOCK_SHINGLES)).cast("int")
+    sized = members.groupBy("component").agg(F.count(F.lit(1)).alias("m"), blocks.alias("blocks")).where("m > 1").select("component", "blocks")
+    placed = cut(
+        members.select("c", "id", "one", "two", "times", "component").join(sized, "component")
+        .withColumn("own", F.expr("cast(pmod(xxhash64(c), blocks) as int)"))
+    )
+    others = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
+    met = docs.join(broadcast_if_small(placed, 200_000), "id").select("c", "one", "two", "times", "component", "own", "text", others)
+    pieces = ["component", "low", "high"]
+    met = met.withColumn("low", F.least("own", "other")).withColumn("high", F.greatest("own", "other")).drop("other")
+    return met.repartition(*pieces).sortWithinPartitions(*pieces).mapInArrow(count, "c long, links long").groupBy("c").agg(F.sum("links").alias("links"))
+
+
+def jaccard_groups(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", with_links: bool = False) -> DataFrame:
     """Group documents whose sets of k-word shingles have a Jaccard similarity of ``percent`` in 100 or more.
 
     Returns one row for each row of ``docs``: ``_id``, ``_n_shingles`` and ``_group``, the
@@ -270,6 +358,10 @@ def jaccard_groups(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str =
     groups, so a large group of near copies isn't expanded into its pairs, and no link between
     groups is lost.
 
+    ``with_links`` adds ``_n_links``: the number of other rows with an id whose texts link with
+    this one, copies included; 0 for a row without an id or words.  All pairs of different sets in
+    a group are verified for it, in blocks that pass on sums.
+
     Ids are long numbers.  A row without an id keeps a null group; rows that repeat an id are one
     document whose texts may each link.  Extra columns play no part, empty tables give no rows.
     """
@@ -279,7 +371,8 @@ def jaccard_groups(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str =
     classes = cut(
         _described(plain, lengths, k, percent).where("n > 0 and id is not null")
         .groupBy("one", "two")
-        .agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("cells").alias("cells"), F.first("short").alias("short"))
+        .agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("cells").alias("cells"), F.first("short").alias("short"), F.count(F.lit(1)).alias("times"))
+        .withColumn("c", F.monotonically_increasing_id())  # ids may repeat with other texts
     )
     lists, texts = _merged_lists(classes), plain.where("id is not null")
     grouped, links, tried = None, None, None
@@ -295,7 +388,10 @@ def jaccard_groups(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str =
         found = cut(_linked(pairs, texts, k, percent), EDGES)
         links = found if links is None else links.unionByName(found)
         grouped = components(links)
-    named = classes.select("one", "two", F.col("id").alias("node")).join(grouped, "node", "left").select("one", "two", F.coalesce("component", "node").alias("_group"))
-    return _named_sets(plain, k).join(named, ["one", "two"], "left").select(
-        F.col("id").alias("_id"), F.col("n").alias("_n_shingles"), F.when(F.col("id").isNotNull(), F.coalesce("_group", "id")).alias("_group")
-    )
+    named = classes.select("one", "two", "c", "times", F.col("id").alias("node")).join(grouped, "node", "left").withColumn("_group", F.coalesce("component", "node"))
+    if with_links:
+        named = named.join(_link_counts(classes, grouped, texts, k, percent), "c", "left").withColumn("_n_links", F.col("times") - 1 + F.coalesce("links", F.lit(0)))
+    kept = ["_group", "_n_links"] if with_links else ["_group"]
+    out = _named_sets(plain, k).join(named.select("one", "two", *kept), ["one", "two"], "left")
+    links_of = [F.when(F.col("id").isNotNull(), F.coalesce("_n_links", F.lit(0))).otherwise(0).alias("_n_links")] if with_links else []
+    return out.select(F.col("id").alias("_id"), F.col("n").alias("_n_shingles"), F.when(F.col("id").isNotNull(), F.coalesce("_group", "id")).alias("_group"), *links_of)

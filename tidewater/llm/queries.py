@@ -34,8 +34,8 @@ def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    grouped = jaccard_groups(_read(spark, sf_dir, "documents").select("doc_id", "text"), k=4, percent=85)
-    return grouped.select(F.col("_id").alias("doc_id"), F.col("_n_shingles").alias("n_shingles"), F.col("_group").alias("component_id"))
+    grouped = jaccard_groups(_read(spark, sf_dir, "documents").select("doc_id", "text"), k=4, percent=85, with_links=True)
+    return grouped.select(F.col("_id").alias("doc_id"), F.col("_n_shingles").alias("n_shingles"), F.col("_group").alias("component_id"), F.col("_n_links").alias("n_links"))
 
 
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
