@@ -154,6 +154,63 @@ def test_ngram_groups(spark, corpus, k, percent):
     assert sorted(map(tuple, got.collect())) == want and sum(a != c for a, _, c in want) > 20
 
 
+def hot_families(seed, n, own):
+    """Texts that share most words with their family, in a common order, and copies that miss a word or two."""
+    import random
+
+    rng, rows = random.Random(seed), []
+    for family in range(3):
+        shared = [f"s{family}x{k}" for k in range(200)]
+        for _ in range(n):
+            mine = list(shared)
+            at = rng.randrange(170)
+            mine[at : at + own + rng.randrange(4)] = [f"o{rng.random()}" for _ in range(own)]
+            rows.append((len(rows), " ".join(mine)))
+            if rng.random() < 0.3:
+                mine[rng.randrange(len(mine))] = "changed"
+                rows.append((len(rows), " ".join(mine)))
+    return rows
+
+
+@pytest.mark.parametrize("most", [1 << 15, 7])
+def test_ngram_families_just_around_the_limit(spark, monkeypatch, most):
+    from tidewater.llm import ngram_join
+
+    monkeypatch.setattr(ngram_join, "LIST", most)  # longer lists are dealt into blocks
+    for own in (12, 16):
+        rows = hot_families(own, 40, own)
+        want = groups_brute(rows, 4, 85)
+        got = ngram_join.jaccard_groups(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(5), 4, 85)
+        assert sorted((r["_id"], r["_n_shingles"], r["_group"]) for r in got.collect()) == want
+        assert 1 < len({g for _, _, g in want}) < len(rows)
+
+
+def test_ngram_list_of_very_many_sets_that_never_link(spark):
+    """Each of 10**5 texts merges the list of a shingle that all share; counts leave no pair to look at."""
+    from tidewater.llm.ngram_join import jaccard_groups
+
+    hot = " ".join(f"h{k}" for k in range(20))
+    rows = spark.range(100_000).select(F.col("id").alias("doc_id"), F.concat(F.lit(hot + " "), F.concat_ws(" ", *[F.concat(F.lit(x), F.col("id")) for x in "abc"])).alias("text"))
+    got = jaccard_groups(rows.repartition(8), 4, 85)
+    assert got.where("_id = _group and _n_shingles = 20").count() == 100_000
+
+
+def test_ngram_probes_stop_at_the_right_answer():
+    import numpy as np
+
+    from tidewater.llm.ngram_join import _rarest_first, links_by_probes
+
+    rng = np.random.default_rng(5)
+    lengths = rng.integers(0, 12, 1 << 10).astype(np.uint8)
+    for _ in range(400):
+        n = int(rng.integers(1, 300))
+        x = np.unique(rng.integers(0, 1 << 60, n).astype(np.uint64))
+        y = np.unique(np.concatenate([x[rng.random(len(x)) < rng.uniform(0.8, 1)], rng.integers(0, 1 << 60, int(rng.integers(0, n // 8 + 2))).astype(np.uint64)]))
+        both = len(np.intersect1d(x, y))
+        want = both > 0 and 100 * both >= 85 * (len(x) + len(y) - both)
+        assert links_by_probes(_rarest_first(x, lengths)[0], _rarest_first(y, lengths)[0], lengths, 85, 11) == want
+
+
 def test_ngram_groups_of_odd_rows(spark, odd_texts):
     from tidewater.llm.ngram_join import jaccard_groups
 

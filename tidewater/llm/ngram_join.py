@@ -1,4 +1,14 @@
-"""N-gram Jaccard join by T-occurrence search: merge the short inverted lists, probe the long ones."""
+"""N-gram Jaccard join by T-occurrence search: merge the short inverted lists, probe the long ones.
+
+A set of n shingles links only with sets that share at least T of its shingles.  Its inverted
+lists are split after DivideSkip: the L longest, L = T / (MU log2 M + 1) with M the longest list
+of all, aren't merged.  The others are, and a pair that these don't bring up to its overlap less
+L can't link; for the rest the L long lists are probed by binary search, until the overlap is
+reached or out of reach.  All sets rank lists alike, rarest first, so the merged lists of the
+two sets of a pair hold the same shared shingles up to the lower of their two cuts: merged lists
+need only hold the sets that merge them.  A long list is probed where its entry would be, in
+the candidate's own sorted shingles.
+"""
 
 from __future__ import annotations
 
@@ -14,16 +24,19 @@ from pyspark.sql import functions as F
 from tidewater.llm.cluster import EDGES, broadcast_if_small, components, cut
 from tidewater.llm.words import mix, raw_texts, shingle_sets, slices
 
-COUNTERS = 1 << 22  # of the sketch that tells long lists from short ones; a fixed size
+MU = 0.003  # weighs merging a list against probing it
+COUNTERS = 1 << 24  # of the sketch that ranks lists, at most
 SEGMENT = 1 << 16
 FAN_IN = 32
 CELLS = 128  # of the histogram of a set that bounds overlaps
-TURNS = 2  # before all remaining pairs are taken
-LIKELY = 4  # candidates of a document that a turn verifies
+LIST = 1 << 15  # sets of a merged list that meet in one task; longer lists are dealt into a grid
+PAIRS = 1 << 17  # pairs that a task holds before it passes them on
+LIKELY = 4  # candidates of a document that the first turn verifies
 GROUPED = 1_000_000  # named nodes, of two numbers each, that may be broadcast
-BLOCK = 512  # sets of a group, about, that meet as many others at once
+PROBES = 64  # long lists probed at once
+BLOCK = 1024  # sets of a group, about, that meet as many others at once
 BLOCK_SHINGLES = 1 << 19  # of such a block, about
-COLUMNS = 1 << 12  # shingles of two blocks that are multiplied at once
+COLUMNS = 1 << 11  # shingles of two blocks that are multiplied at once
 
 
 def _least_overlap(n: np.ndarray, percent: int) -> np.ndarray:
@@ -31,24 +44,37 @@ def _least_overlap(n: np.ndarray, percent: int) -> np.ndarray:
     return -(-n * percent // 100)
 
 
+def _needed(n: np.ndarray, m: np.ndarray, percent: int) -> np.ndarray:
+    """The overlap at which two sets of n and m shingles link."""
+    return -(-percent * (n + m) // (100 + percent))
+
+
+def _long_lists(n: np.ndarray, percent: int, longest: int) -> np.ndarray:
+    """L: how many of a set's lists are probed instead of merged; ``longest`` is log2 of the longest list."""
+    t = _least_overlap(n, percent)
+    return np.clip((t / (MU * longest + 1)).astype(np.int64), 0, np.maximum(t - 1, 0))
+
+
 def list_lengths(docs: DataFrame, text_col: str, k: int) -> np.ndarray:
     """Base-2 logarithms of upper bounds of the lengths of inverted lists, by the hash of a shingle.
 
-    A counting sketch of fixed size, merged in a tree over the partitions.  It only decides
-    which lists count as long: its errors cost time and never change a result.
+    A counting sketch with about a counter for each word of the input, 2**24 at most, merged in a
+    tree over the partitions.  It only ranks lists: its errors cost time and never change a
+    result.
     """
+    words = (docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0) // 6
+    counters = min(COUNTERS, max(SEGMENT, 1 << int(words).bit_length()))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        counts = np.zeros(COUNTERS, np.uint32)
+        counts = np.zeros(counters, np.uint32)
         for batch in slices(batches):
             sets = list(shingle_sets(raw_texts(batch.column(0)), k))
-            at = (np.concatenate(sets) & np.uint64(COUNTERS - 1)).astype(np.int64) if sets else []
-            if len(at):
-                places, n = np.unique(at, return_counts=True)
+            if sets:
+                places, n = np.unique((np.concatenate(sets) & np.uint64(counters - 1)).astype(np.int64), return_counts=True)
                 counts[places] += n.astype(np.uint32)
-        for s in range(0, COUNTERS, SEGMENT):
+        for s in range(0, counters, SEGMENT):
             own = counts[s : s + SEGMENT]
             if own.any():
                 yield pa.RecordBatch.from_pylist(
@@ -63,28 +89,19 @@ def list_lengths(docs: DataFrame, text_col: str, k: int) -> np.ndarray:
         packed = zlib.compress(np.minimum(total, 2**32 - 1).astype(np.uint32).tobytes(), 1)
         return pd.DataFrame({"segment": pdf["segment"].iloc[:1], "slot": pdf["slot"].iloc[:1] // FAN_IN, "counts": [packed]})
 
+    def logs(pdf: pd.DataFrame) -> pd.DataFrame:
+        counts = np.frombuffer(zlib.decompress(merge(pdf)["counts"][0]), np.uint32)
+        return pd.DataFrame({"segment": pdf["segment"].iloc[:1], "logs": [zlib.compress(np.ceil(np.log2(counts.astype(np.float64) + 1)).astype(np.uint8).tobytes(), 1)]})
+
     schema = "segment int, slot int, counts binary"
     slots, parts = docs.rdd.getNumPartitions(), docs.select(text_col).mapInArrow(count, schema)
     while slots > FAN_IN:
         parts = parts.groupBy("segment", F.floor(F.col("slot") / FAN_IN).alias("merged")).applyInPandas(merge, schema)
         slots = -(-slots // FAN_IN)
-    parts = parts.groupBy("segment").applyInPandas(merge, schema)
-    logs = np.zeros(COUNTERS, np.uint8)
-    for row in parts.select("segment", "counts").toLocalIterator():  # one sketch of a fixed size
-        counts = np.frombuffer(zlib.decompress(bytes(row["counts"])), np.uint32)
-        logs[row["segment"] * SEGMENT : (row["segment"] + 1) * SEGMENT] = np.ceil(np.log2(counts.astype(np.float64) + 1)).astype(np.uint8)
-    return logs
-
-
-def _named_sets(docs: DataFrame, k: int) -> DataFrame:
-    """For each row: id, n, and two fingerprints of its set."""
-
-    def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
-            made = [(len(own), *_fingerprints(own)) for own in shingle_sets(raw_texts(batch.column(1)), k)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(x, pa.int64()) for x in zip(*made)]], ["id", "n", "one", "two"])
-
-    return docs.mapInArrow(name, f"id {docs.schema['id'].dataType.simpleString()}, n long, one long, two long")
+    found = np.zeros(counters, np.uint8)
+    for row in parts.groupBy("segment").applyInPandas(logs, "segment int, logs binary").toLocalIterator():  # one sketch of a bounded size
+        found[row["segment"] * SEGMENT : (row["segment"] + 1) * SEGMENT] = np.frombuffer(zlib.decompress(bytes(row["logs"])), np.uint8)
+    return found
 
 
 def _fingerprints(own: np.ndarray) -> tuple[int, int]:
@@ -92,72 +109,96 @@ def _fingerprints(own: np.ndarray) -> tuple[int, int]:
     return tuple(int(x.view(np.int64)) for x in sums)  # type: ignore[return-value]
 
 
+def _rarest_first(own: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A set in the order in which all sets rank their lists, and the logarithms that rank them."""
+    logs = lengths[(own & np.uint64(len(lengths) - 1)).astype(np.int64)]
+    order = np.lexsort((own, logs))
+    return own[order], logs[order]
+
+
 def _described(docs: DataFrame, lengths, k: int, percent: int) -> DataFrame:
-    """For each row: id, n, two fingerprints of its set, its histogram, and the shingles with the shortest lists.
+    """For each row: id, n, two fingerprints of its set, its histogram, L, the shingles whose lists it merges.
 
-    A set of n shingles shares at least T with a partner, so it shares one of any n - T + 1;
-    those with the shortest lists are merged, the others only probed.
+    ``many`` are those of its merged lists that may hold more than LIST sets.
     """
+    longest, hot = int(lengths.value.max(initial=0)), LIST.bit_length()
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            sizes, ones, twos, grams, shorts = [], [], [], [], []
+            sizes, ones, twos, grams, longs, shorts, many = [], [], [], [], [], [], []
             for own in shingle_sets(raw_texts(batch.column(1)), k):
                 n = len(own)
-                sizes.append(n)
                 one, two = _fingerprints(own)
+                probed = int(_long_lists(np.int64(n), percent, longest))
+                ranked, logs = _rarest_first(own, lengths.value)
+                sizes.append(n)
                 ones.append(one)
                 twos.append(two)
+                longs.append(probed)
                 grams.append(np.minimum(np.bincount((own >> np.uint64(40)).astype(np.int64) % CELLS, minlength=CELLS), 255).astype(np.uint8).tobytes())
-                order = np.lexsort((own, lengths.value[(own & np.uint64(COUNTERS - 1)).astype(np.int64)]))
-                shorts.append(own[order[: n - int(_least_overlap(np.int64(n), percent)) + 1 if n else 0]].view(np.int64))
+                shorts.append(ranked[: n - probed].view(np.int64))
+                many.append(ranked[: n - probed][logs[: n - probed] >= hot].view(np.int64))
+            arrays = [pa.array(x, pa.int64()) for x in (sizes, ones, twos, longs)]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(sizes, pa.int64()), pa.array(ones, pa.int64()), pa.array(twos, pa.int64()), pa.array(grams, pa.binary()), pa.array(shorts, pa.list_(pa.int64()))],
-                ["id", "n", "one", "two", "cells", "short"],
+                [batch.column(0), *arrays, pa.array(grams, pa.binary()), pa.array(shorts, pa.list_(pa.int64())), pa.array(many, pa.list_(pa.int64()))],
+                ["id", "n", "one", "two", "longs", "cells", "short", "many"],
             )
 
-    return docs.mapInArrow(describe, f"id {docs.schema['id'].dataType.simpleString()}, n long, one long, two long, cells binary, short array<long>")
+    return docs.mapInArrow(describe, f"id {docs.schema['id'].dataType.simpleString()}, n long, one long, two long, longs long, cells binary, short array<long>, many array<long>")
 
 
-def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
-    """Sorted postings with only whole lists in each piece; lists of one are left out."""
+PIECE = ["gram", "low", "high"]  # one list, or two blocks of a list
+
+
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Sorted postings with only whole pieces of lists in each table, and where its pieces begin and end."""
     rest: pa.Table | None = None
     for batch in batches:
         table = pa.Table.from_batches([batch])
         if rest is not None and rest.num_rows:
             table = pa.concat_tables([rest, table])
-        gram = table.column("gram").to_numpy()
-        if not len(gram):
-            continue
-        last = int(np.searchsorted(gram, gram[-1], side="left"))
-        rest = table.slice(last)
-        if last:
-            yield _shared(table.slice(0, last))
+        if table.num_rows:
+            cuts = _cuts(table)
+            rest = table.slice(cuts[-2])
+            if len(cuts) > 2:
+                yield table.slice(0, cuts[-2]), cuts[:-1]
     if rest is not None and rest.num_rows:
-        yield _shared(rest)
-
+        yield rest, np.array([0, rest.num_rows])
 
-def _shared(table: pa.Table) -> pa.Table:
-    gram = table.column("gram").to_numpy()
-    same = gram[1:] == gram[:-1]
-    return table.filter(pa.array(np.concatenate([same, [False]]) | np.concatenate([[False], same])))
 
+def _cuts(table: pa.Table) -> np.ndarray:
+    new = np.ones(table.num_rows + 1, bool)
+    new[1:-1] = False
+    for name in PIECE:
+        own = table.column(name).to_numpy()
+        new[1:-1] |= own[1:] != own[:-1]
+    return np.flatnonzero(new)
 
-def _spans(gram: np.ndarray) -> Iterator[tuple[int, int]]:
-    cuts = np.flatnonzero(np.concatenate([[True], gram[1:] != gram[:-1], [True]])) if len(gram) else np.zeros(1, int)
-    yield from zip(cuts[:-1].tolist(), cuts[1:].tolist())
 
+def _merged_lists(classes: DataFrame, percent: int) -> DataFrame:
+    """Postings of the merged lists of two sets or more: each list, or pair of blocks of a long list, in one piece.
 
-def _merged_lists(classes: DataFrame) -> DataFrame:
-    """Postings (gram, id, n, cells) of the short lists that hold two sets or more, each list in one piece."""
+    ``c`` counts those of a set's merged lists that hold another set.  With its L long lists they
+    bound what it can share with any other, so sets whose bound is too low are left out.
+    """
 
     def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in _runs(batches):
-            yield from table.combine_chunks().to_batches()
-
-    listed = classes.select(F.explode("short").alias("gram"), "id")
-    merged = cut(listed.repartition("gram").sortWithinPartitions("gram").mapInArrow(shared, "gram long, id long"))
-    return cut(merged.join(classes.select("id", "n", "cells"), "id").select("gram", "id", "n", "cells").repartition("gram").sortWithinPartitions("gram"))
+        for table, cuts in _runs(batches):
+            alone = np.zeros(table.num_rows, bool)
+            alone[cuts[:-1][np.diff(cuts) == 1]] = True
+            yield from table.filter(pa.array(~alone | table.column("dealt").to_numpy(zero_copy_only=False))).drop_columns("dealt").combine_chunks().to_batches()
+
+    hot = classes.select(F.explode("many").alias("gram")).groupBy("gram").agg(F.ceil(F.count(F.lit(1)) / LIST).cast("int").alias("blocks")).where("blocks > 1")
+    listed = classes.select(F.explode("short").alias("gram"), "id").join(broadcast_if_small(cut(hot), 100_000), "gram", "left")
+    placed = (
+        listed.withColumn("own", F.coalesce(F.expr("cast(pmod(xxhash64(id), blocks) as int)"), F.lit(0)))
+        .withColumn("other", F.explode(F.expr("if(blocks is null, array(0), sequence(0, blocks - 1))")))
+        .select("gram", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", (F.col("blocks").isNotNull() & (F.col("own") == F.col("other"))).alias("dealt"), "id")
+    )
+    merged = cut(placed.repartition(*PIECE).sortWithinPartitions(*PIECE).mapInArrow(shared, "gram long, low int, high int, own int, id long"))
+    met = merged.where("low = high").groupBy("id").agg(F.count(F.lit(1)).alias("c"))
+    able = classes.select("id", "n", "longs", "cells").join(met, "id").where(100 * (F.col("c") + F.col("longs")) >= percent * F.col("n"))
+    return cut(merged.join(able, "id").select(*PIECE, "own", "id", "n", "c", "longs", "cells").repartition(*PIECE).sortWithinPartitions(*PIECE))
 
 
 def _cells(column: pa.ChunkedArray) -> np.ndarray:
@@ -176,41 +217,75 @@ def _possible(i: np.ndarray, j: np.ndarray, sizes: np.ndarray, cells: np.ndarray
     return out
 
 
-def _candidates(lists: DataFrame, grouped: DataFrame | None, percent: int, turn: int | None) -> DataFrame:
+def _meetings(ns: np.ndarray, most: np.ndarray, groups: np.ndarray, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of places of a list, a larger set first, whose sizes and counts allow the overlap, but for pairs inside its largest group.
+
+    ``most`` bounds what a set can share with any smaller one.  Few pairs come at once.
+    """
+    order = np.argsort(ns, kind="stable")
+    least, reach = -(-ns * percent // 100), most * (100 + percent) // percent - ns
+    names, counts = np.unique(groups, return_counts=True)
+    inside = groups[order] == names[counts.argmax()] if 2 * counts.max() > len(ns) else np.zeros(len(ns), bool)
+    every, main, others = np.arange(len(ns)), np.flatnonzero(inside), np.flatnonzero(~inside)
+    for xs, ys in ((every, others), (others, main)):
+        if not len(xs) or not len(ys):
+            continue
+        sizes = ns[order[ys]]
+        low = np.searchsorted(sizes, least[order[xs]], side="left")
+        high = np.minimum(np.searchsorted(ys, xs), np.searchsorted(sizes, reach[order[xs]], side="right"))
+        many = np.maximum(high - low, 0)
+        ends = np.cumsum(many)
+        begin = 0
+        while begin < len(xs):
+            end = max(begin + 1, int(np.searchsorted(ends, (ends[begin - 1] if begin else 0) + PAIRS, side="right")))
+            own = many[begin:end]
+            if own.sum():
+                first = np.repeat(np.arange(begin, end), own)
+                place = np.arange(own.sum()) - np.repeat(np.cumsum(own) - own, own) + low[first]
+                yield order[xs[first]], order[ys[place]]
+            begin = end
+
+
+def _candidates(lists: DataFrame, grouped: DataFrame | None, percent: int, likely: bool) -> DataFrame:
     """Candidate pairs (a, b, hits) of different groups from the merged lists.
 
-    With a ``turn``, each set of a list meets those 1, 2, 4, 8, ... places before it in an order
-    that the turn shuffles, so a list of n makes at most n log n pairs.  Without one it meets all
-    others that its size allows.  Only pairs whose histograms allow a link are passed on.
+    If ``likely``, each set of a list meets those 1, 2, 4, 8, ... places before it in a shuffled
+    order, so a list of n makes at most n log n pairs; hits are then only a rank.  Otherwise all
+    sets meet that their sizes, counts and histograms allow, and pairs remain whose hits reach
+    the overlap that they need less the long lists.
     """
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, waiting = [], 0
-        for table in _runs(batches):
-            grams, ns, ids, groups = (table.column(c).to_numpy() for c in ("gram", "n", "id", "group"))
-            cells = _cells(table.column("cells"))
-            for begin, end in _spans(grams):
+        for table, cuts in _runs(batches):
+            low, high, own, ns, cs, longs, ids, groups = (table.column(c).to_numpy() for c in ("low", "high", "own", "n", "c", "longs", "id", "group"))
+            cells = None
+            for begin, end in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
                 f, group = end - begin, groups[begin:end]
                 if group.min() == group.max():
                     continue
-                if turn is None:
-                    order = np.argsort(ns[begin:end], kind="stable") + begin
-                    reach = np.searchsorted(ns[order], ns[order] * 100 // percent, side="right").tolist()
-                    meetings = ((np.full(r - x - 1, x), np.arange(x + 1, r)) for x, r in enumerate(reach) if r > x + 1)
+                if cells is None:
+                    cells = _cells(table.column("cells"))
+                if likely:
+                    order = np.argsort(mix(ids[begin:end].view(np.uint64)))
+                    meetings = ((order[: f - (1 << s)], order[1 << s :]) for s in range((f - 1).bit_length()))
                 else:
-                    order = np.argsort(mix(ids[begin:end].view(np.uint64) + np.uint64(turn * 7919))) + begin
-                    meetings = ((np.arange(f - (1 << s)), np.arange(1 << s, f)) for s in range((f - 1).bit_length()))
+                    meetings = _meetings(ns[begin:end], (cs + longs)[begin:end], group, percent)
                 for x, y in meetings:
-                    x, y = order[x], order[y]
-                    fit = (groups[x] != groups[y]) & (100 * np.minimum(ns[x], ns[y]) >= percent * np.maximum(ns[x], ns[y]))
-                    x, y = x[fit], y[fit]
+                    x, y = x + begin, y + begin
+                    need = _needed(ns[x], ns[y], percent) - np.maximum(longs[x], longs[y])
+                    fit = (groups[x] != groups[y]) & (np.minimum(cs[x], cs[y]) >= need) & (100 * np.minimum(ns[x], ns[y]) >= percent * np.maximum(ns[x], ns[y]))
+                    if low[begin] != high[begin]:
+                        fit &= own[x] != own[y]
+                    x, y, need = x[fit], y[fit], need[fit]
                     if len(x):
                         fit = _possible(x, y, ns, cells, percent)
-                        held.append(np.sort(np.stack([ids[x[fit]], ids[y[fit]]]), axis=0))
-                        waiting += int(fit.sum())
-                if waiting > 1 << 17:
-                    yield _counted(held)
-                    held, waiting = [], 0
+                        x, y = ids[x[fit]], ids[y[fit]]
+                        held.append((np.minimum(x, y), np.maximum(x, y), need[fit]))
+                        waiting += len(x)
+                    if waiting > PAIRS:
+                        yield _counted(held)
+                        held, waiting = [], 0
         if waiting:
             yield _counted(held)
 
@@ -220,35 +295,55 @@ def _candidates(lists: DataFrame, grouped: DataFrame | None, percent: int, turn:
         few = names.limit(GROUPED + 1).count() <= GROUPED
         met = lists.join(F.broadcast(names) if few else names, "id", "left").withColumn("group", F.coalesce("component", "id"))
         if not few:  # a broadcast leaves the lists in their order
-            met = met.repartition("gram").sortWithinPartitions("gram")
-    pairs = met.select("gram", "n", "id", "group", "cells").mapInArrow(merge, "a long, b long, hits long")
-    return pairs.groupBy("a", "b").agg(F.sum("hits").alias("hits")).where("a <> b")
-
-
-def _counted(held: list[np.ndarray]) -> pa.RecordBatch:
-    pairs, hits = np.unique(np.concatenate(held, axis=1), axis=1, return_counts=True)
-    return pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1]), pa.array(hits.astype(np.int64))], ["a", "b", "hits"])
+            met = met.repartition(*PIECE).sortWithinPartitions(*PIECE)
+    pairs = met.select(*PIECE, "own", "n", "c", "longs", "id", "group", "cells").mapInArrow(merge, "a long, b long, need long, hits long")
+    pairs = pairs.groupBy("a", "b", "need").agg(F.sum("hits").alias("hits")).where("a <> b")
+    return pairs.select("a", "b", "hits") if likely else pairs.where("hits >= need").select("a", "b", "hits")
+
+
+def _counted(held: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+    a, b, need = (np.concatenate(x) for x in zip(*held))
+    order = np.lexsort((need, b, a))
+    a, b, need = a[order], b[order], need[order]
+    first = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1]) | (need[1:] != need[:-1])]))
+    hits = np.diff(np.append(first, len(a)))
+    return pa.RecordBatch.from_arrays([pa.array(x) for x in (a[first], b[first], need[first], hits)], ["a", "b", "need", "hits"])
+
+
+def links_by_probes(x: np.ndarray, y: np.ndarray, lengths: np.ndarray, percent: int, longest: int) -> bool:
+    """Whether two sets, rarest first, link: the merged lists of one of them, then its long ones, by binary search."""
+    if not len(x) or not len(y):
+        return False
+    short = [len(s) - int(_long_lists(np.int64(len(s)), percent, longest)) for s in (x, y)]
+    ends = [(lengths[int(s[k - 1]) & (len(lengths) - 1)], s[k - 1]) for s, k in zip((x, y), short)]
+    if ends[0] > ends[1]:  # the one whose merged lists end earlier asks
+        x, y, short = y, x, short[::-1]
+    need, known = int(_needed(len(x), len(y), percent)), np.sort(y)
+    found, begin, end = 0, 0, short[0]
+    while begin < len(x):
+        own = x[begin:end]
+        found += int((known[np.minimum(np.searchsorted(known, own), len(known) - 1)] == own).sum())
+        if found >= need:
+            return True
+        if found + len(x) - end < need:
+            return False
+        begin, end = end, min(len(x), end + PROBES)
+    return False
 
 
-def _linked(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """Pairs whose whole sets overlap enough: every shingle of one is binary-probed in the other's sorted set."""
+def _linked(pairs: DataFrame, docs: DataFrame, lengths, k: int, percent: int) -> DataFrame:
+    """Pairs whose whole sets overlap enough."""
+    longest = int(lengths.value.max(initial=0))
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            own = [x.tobytes() for x in shingle_sets(raw_texts(batch.column(1)), k)]
+            own = [_rarest_first(x, lengths.value)[0].tobytes() for x in shingle_sets(raw_texts(batch.column(1)), k)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(own, pa.binary())], ["id", "own"])
 
-    def linked(x: np.ndarray, y: np.ndarray) -> bool:
-        x, y = (x, y) if len(x) <= len(y) else (y, x)
-        if not len(x):
-            return False
-        shared = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum())
-        return shared > 0 and 100 * shared >= percent * (len(x) + len(y) - shared)
-
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             sides = zip(*[[np.frombuffer(x, np.uint64) for x in batch.column(c).to_pylist()] for c in ("left", "right")])
-            yield batch.select(["a", "b"]).filter(pa.array([linked(x, y) for x, y in sides], pa.bool_()))
+            yield batch.select(["a", "b"]).filter(pa.array([links_by_probes(x, y, lengths.value, percent, longest) for x, y in sides], pa.bool_()))
 
     wanted = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
     texts = docs.join(broadcast_if_small(wanted, 500_000), "id", "left_semi")
@@ -288,15 +383,23 @@ def _link_counts(classes: DataFrame, grouped: DataFrame, docs: DataFrame, k: int
     its classes, no pairs.
     """
 
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            own = list(shingle_sets(raw_texts(batch.column("text")), k))
+            # rows that repeat an id may have other texts
+            right = [_fingerprints(x) == y for x, y in zip(own, zip(batch.column("one").to_pylist(), batch.column("two").to_pylist()))]
+            kept = batch.select(["component", "blocks", "c", "times"]).filter(pa.array(right, pa.bool_()))
+            yield pa.RecordBatch.from_arrays([*kept.columns, pa.array([x.tobytes() for x, y in zip(own, right) if y], pa.binary())], [*kept.schema.names, "own"])
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, sides, done, waiting = None, ({}, {}), [], 0
 
         def settled(low: int, high: int) -> None:
             nonlocal waiting
-            names, times, sets = [[[x[i] for x in side.values()] for side in sides] for i in range(3)]
-            if low == high and len(sets[0]) > 1 or low != high and sets[0] and sets[1]:
-                n = [np.array([len(x) for x in side], np.int64) for side in sets]
-                shared = _overlaps(sets[0], None if low == high else sets[1])
+            names, times, owned = [[[x[i] for x in side.values()] for side in sides] for i in range(3)]
+            if low == high and len(owned[0]) > 1 or low != high and owned[0] and owned[1]:
+                n = [np.array([len(x) for x in side], np.int64) for side in owned]
+                shared = _overlaps(owned[0], None if low == high else owned[1])
                 linked = (shared > 0) & (100 * shared >= percent * (n[0][:, None] + n[low != high] - shared))
                 if low == high:
                     np.fill_diagonal(linked, False)
@@ -311,15 +414,12 @@ def _link_counts(classes: DataFrame, grouped: DataFrame, docs: DataFrame, k: int
             return pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.array(x[i], np.int64) for x in done])) for i in (0, 1)], ["c", "links"])
 
         for batch in slices(batches):
-            facts = batch.select(["component", "low", "high", "own", "c", "times", "one", "two"]).to_pydict()
-            for component, low, high, own, c, times, one, two, owned in zip(*facts.values(), shingle_sets(raw_texts(batch.column("text")), k)):
+            for component, low, high, side, c, times, own in zip(*batch.select(["component", "low", "high", "side", "c", "times", "own"]).to_pydict().values()):
                 if (component, low, high) != now:
                     if now is not None:
                         settled(*now[1:])
                     now = component, low, high
-                side = sides[own != low]
-                if c not in side and _fingerprints(owned) == (one, two):  # rows that repeat an id may have other texts
-                    side[c] = c, times, owned
+                sides[side != low].setdefault(c, (c, times, np.frombuffer(own, np.uint64)))
             if waiting > 1 << 14:
                 yield summed()
                 done, waiting = [], 0
@@ -331,14 +431,11 @@ def _link_counts(classes: DataFrame, grouped: DataFrame, docs: DataFrame, k: int
     members = classes.join(grouped, F.col("id") == F.col("node"), "left").withColumn("component", F.coalesce("component", "id"))
     blocks = F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK, F.sum("n") / BLOCK_SHINGLES)).cast("int")
     sized = members.groupBy("component").agg(F.count(F.lit(1)).alias("m"), blocks.alias("blocks")).where("m > 1").select("component", "blocks")
-    placed = cut(
-        members.select("c", "id", "one", "two", "times", "component").join(sized, "component")
-        .withColumn("own", F.expr("cast(pmod(xxhash64(c), blocks) as int)"))
-    )
-    others = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    met = docs.join(broadcast_if_small(placed, 200_000), "id").select("c", "one", "two", "times", "component", "own", "text", others)
+    placed = cut(members.select("c", "id", "one", "two", "times", "component").join(sized, "component"))
+    met = docs.join(broadcast_if_small(placed, 200_000), "id").mapInArrow(sets, "component long, blocks int, c long, times long, own binary")
+    met = met.withColumn("side", F.expr("cast(pmod(xxhash64(c), blocks) as int)")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    met = met.withColumn("low", F.least("side", "other")).withColumn("high", F.greatest("side", "other")).drop("other", "blocks")
     pieces = ["component", "low", "high"]
-    met = met.withColumn("low", F.least("own", "other")).withColumn("high", F.greatest("own", "other")).drop("other")
     return met.repartition(*pieces).sortWithinPartitions(*pieces).mapInArrow(count, "c long, links long").groupBy("c").agg(F.sum("links").alias("links"))
 
 
@@ -350,13 +447,13 @@ def jaccard_groups(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str =
     A-Z lower-cased; a text with fewer words than ``k`` is one shingle; one without words, or
     null, has none and links with nothing.
 
-    Equal sets meet by fingerprint, so copies count once.  For the others every set is indexed
-    under its n - T + 1 shingles with the shortest lists, where T is the least overlap that a
-    link needs; merged lists give candidates, histograms drop those that can't reach T, and the
-    long lists are answered by binary probes of whole sets.  First turns verify a few likely
-    candidates of each document; the last takes all candidate pairs that are still in different
-    groups, so a large group of near copies isn't expanded into its pairs, and no link between
-    groups is lost.
+    Equal sets meet by fingerprint, so copies count once.  The others are found by the module's
+    T-occurrence search, in two turns.  The first verifies a few likely candidates of each set and
+    joins what links, so a large group of near copies isn't expanded into its pairs.  The second
+    takes all pairs of sets that are still in different groups, counts their hits in the merged
+    lists over the cluster, drops those under the threshold and probes the long lists for the
+    rest, so no link between groups is lost.  A list of more than LIST sets is dealt into blocks
+    whose pairs are different pieces of work; tasks pass pairs on as they count them.
 
     ``with_links`` adds ``_n_links``: the number of other rows with an id whose texts link with
     this one, copies included; 0 for a row without an id or words.  All pairs of different sets in
@@ -368,30 +465,26 @@ def jaccard_groups(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str =
     spark, percent = docs.sparkSession, int(percent)
     plain = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     lengths = spark.sparkContext.broadcast(list_lengths(plain, "text", k))
+    rows = cut(_described(plain, lengths, k, percent))
+    firsts = [F.first(x).alias(x) for x in ("n", "longs", "cells", "short", "many")]
     classes = cut(
-        _described(plain, lengths, k, percent).where("n > 0 and id is not null")
-        .groupBy("one", "two")
-        .agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("cells").alias("cells"), F.first("short").alias("short"), F.count(F.lit(1)).alias("times"))
+        rows.where("n > 0 and id is not null").groupBy("one", "two")
+        .agg(F.min("id").alias("id"), *firsts, F.count(F.lit(1)).alias("times"))
         .withColumn("c", F.monotonically_increasing_id())  # ids may repeat with other texts
-    )
-    lists, texts = _merged_lists(classes), plain.where("id is not null")
-    grouped, links, tried = None, None, None
+    )
+    lists, texts = _merged_lists(classes, percent), plain.where("id is not null")
     by_hits = Window.partitionBy("b").orderBy(F.col("hits").desc(), "a")
-    for turn in [*range(TURNS), None]:
-        pairs = _candidates(lists, grouped, percent, turn)
-        if tried is not None:  # no pair is verified twice
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        if turn is not None:
-            pairs = pairs.withColumn("k", F.row_number().over(by_hits)).where(F.col("k") <= LIKELY)
-        pairs = cut(pairs.select("a", "b"), EDGES)
-        tried = pairs if tried is None else tried.unionByName(pairs)
-        found = cut(_linked(pairs, texts, k, percent), EDGES)
-        links = found if links is None else links.unionByName(found)
-        grouped = components(links)
+    likely = _candidates(lists, None, percent, likely=True).withColumn("k", F.row_number().over(by_hits)).where(F.col("k") <= LIKELY)
+    likely = cut(likely.select("a", "b"), EDGES)
+    found = _linked(likely, texts, lengths, k, percent)
+    grouped = components(found)
+    others = _candidates(lists, grouped, percent, likely=False).join(likely, ["a", "b"], "left_anti")  # no pair is verified twice
+    found = _linked(cut(others.select("a", "b"), EDGES), texts, lengths, k, percent)
+    grouped = components(found.unionByName(grouped.select(F.col("node").alias("a"), F.col("component").alias("b"))))
     named = classes.select("one", "two", "c", "times", F.col("id").alias("node")).join(grouped, "node", "left").withColumn("_group", F.coalesce("component", "node"))
     if with_links:
         named = named.join(_link_counts(classes, grouped, texts, k, percent), "c", "left").withColumn("_n_links", F.col("times") - 1 + F.coalesce("links", F.lit(0)))
     kept = ["_group", "_n_links"] if with_links else ["_group"]
-    out = _named_sets(plain, k).join(named.select("one", "two", *kept), ["one", "two"], "left")
+    out = rows.select("id", "n", "one", "two").join(named.select("one", "two", *kept), ["one", "two"], "left")
     links_of = [F.when(F.col("id").isNotNull(), F.coalesce("_n_links", F.lit(0))).otherwise(0).alias("_n_links")] if with_links else []
     return out.select(F.col("id").alias("_id"), F.col("n").alias("_n_shingles"), F.when(F.col("id").isNotNull(), F.coalesce("_group", "id")).alias("_group"), *links_of)

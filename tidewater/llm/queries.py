@@ -102,6 +102,23 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op2_ngram_join": r"""
+WITH RECURSIVE texts AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words FROM documents),
+sets AS (
+  SELECT doc_id, CASE WHEN len(words) = 0 THEN [] WHEN len(words) < 4 THEN [array_to_string(words, ' ')]
+    ELSE list_distinct([array_to_string(words[i:i + 3], ' ') FOR i IN range(1, len(words) - 2)]) END AS grams FROM texts),
+sized AS (SELECT doc_id, len(grams) AS n, grams FROM sets),
+lists AS (SELECT doc_id, n, unnest(grams) AS gram FROM sized),
+links AS (
+  SELECT a.doc_id AS a, b.doc_id AS b FROM lists a JOIN lists b ON a.gram = b.gram AND a.doc_id <> b.doc_id
+  GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))),
+reached AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, l.b FROM reached r JOIN links l ON r.b = l.a),
+named AS (SELECT a AS doc_id, min(b) AS component_id FROM reached GROUP BY a),
+counted AS (SELECT a AS doc_id, count(*) AS n_links FROM links GROUP BY a)
+SELECT doc_id, n AS n_shingles, component_id, coalesce(n_links, 0) AS n_links
+FROM sized JOIN named USING (doc_id) LEFT JOIN counted USING (doc_id)
+""",
     "op4_line_dedup": r"""
 WITH docs AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS parts FROM documents),
 lines AS (SELECT doc_id, unnest(parts) AS line, generate_subscripts(parts, 1) AS pos FROM docs),

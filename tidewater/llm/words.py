@@ -13,11 +13,9 @@ BLANKS[[0x20, *range(0x09, 0x0E)]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 _rng = np.random.default_rng(11)
-_LETTERS = _rng.integers(1, 2**63, 256, dtype=np.uint64)
-_STEP = np.uint64(0x9E3779B97F4A7C15 & ~7 | 5)
-_BACK = np.uint64(pow(int(_STEP), -1, 2**64))
+_LETTERS = _rng.integers(1, 2**63, 256, dtype=np.uint64)[LOWER]
+_STEP = np.uint64(0x9E3779B97F4A7C15)
 _PLACES = [np.uint64(x) for x in (0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB)]
-_powers: dict[str, np.ndarray] = {}
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -27,44 +25,41 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _power(name: str, step: np.uint64, n: int) -> np.ndarray:
-    if len(_powers.get(name, ())) < n:
-        steps = np.full(max(n, WINDOW + 1), step, np.uint64)
-        steps[0] = 1
-        _powers[name] = np.cumprod(steps, dtype=np.uint64)
-        if n > 8 * WINDOW:  # of one giant word; not kept
-            return _powers.pop(name)[:n]
-    return _powers[name][:n]
-
-
-def _hash_window(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    solid = np.concatenate([[False], ~BLANKS[raw], [False]])
-    edges = np.flatnonzero(solid[1:] != solid[:-1])
-    starts, ends = edges[::2], edges[1::2]
-    sums = np.zeros(len(raw) + 1, np.uint64)
-    np.cumsum(_LETTERS[LOWER[raw]] * _power("on", _STEP, len(raw)), dtype=np.uint64, out=sums[1:])
-    return starts, mix((sums[ends] - sums[starts]) * _power("back", _BACK, len(raw) + 1)[starts])
-
-
 def word_hashes(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """Places and hashes of the words of a text, A-Z lower-cased: runs of other bytes than blanks."""
-    data, starts, hashes, at = np.frombuffer(raw, np.uint8), [], [], 0
-    while at < len(data):
-        end = min(len(data), at + WINDOW)
-        if end < len(data):
-            blank = np.flatnonzero(BLANKS[data[at:end]])
-            if len(blank):
-                end = at + int(blank[-1]) + 1
-            else:  # a word longer than the window
-                while end < len(data) and not BLANKS[data[end]]:
-                    end += 1
-        s, h = _hash_window(data[at:end])
-        starts.append(s + at)
-        hashes.append(h)
-        at = end
+    """Places and hashes of the words of a text, A-Z lower-cased: runs of other bytes than blanks.
+
+    A word's hash adds up mixed numbers of each letter and its place in the word, so a text of any
+    length, or a word longer than a window, is taken window by window.
+    """
+    data, starts, sums, sizes, open_at = np.frombuffer(raw, np.uint8), [], [], [], -1
+    for at in range(0, len(data), WINDOW):
+        window = data[at : at + WINDOW]
+        solid = ~BLANKS[window]
+        edges = np.flatnonzero(np.diff(solid, prepend=False, append=False))
+        if not len(edges):
+            open_at = -1
+            continue
+        begins, ends = edges[::2] + at, edges[1::2] + at
+        goes_on = int(open_at >= 0 and begins[0] == at)  # how many words began before this window
+        if goes_on:
+            begins[0] = open_at
+        within = edges[1::2] - edges[::2]
+        places = np.flatnonzero(solid)
+        own = mix(_LETTERS[window[places]] + (places + at - np.repeat(begins, within)).astype(np.uint64) * _STEP)
+        totals = np.add.reduceat(own, np.cumsum(within) - within)
+        if goes_on:
+            sums[-1][-1:] += totals[:1]
+            sizes[-1][-1:] += within[:1].astype(np.uint64)
+        starts.append(begins[goes_on:])
+        sums.append(totals[goes_on:])
+        sizes.append(within[goes_on:].astype(np.uint64))
+        open_at = int(begins[-1]) if solid[-1] else -1
+        if not len(starts[-1]):
+            for held in (starts, sums, sizes):
+                held.pop()
     if not starts:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    return np.concatenate(starts), np.concatenate(hashes)
+    return np.concatenate(starts), mix(np.concatenate(sums) + np.concatenate(sizes) * _PLACES[0])
 
 
 def shingle_sets(texts: list[bytes | None], k: int) -> Iterator[np.ndarray]:
