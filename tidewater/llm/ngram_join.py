@@ -28,10 +28,12 @@ MU = 0.003  # weighs merging a list against probing it
 COUNTERS = 1 << 24  # of the sketch that ranks lists, at most
 SEGMENT = 1 << 16
 FAN_IN = 32
-CELLS = 128  # of the histogram of a set that bounds overlaps
+CELLS = 64  # of the histogram of a set that bounds overlaps
 LIST = 1 << 15  # sets of a merged list that meet in one task; longer lists are dealt into a grid
-PAIRS = 1 << 17  # pairs that a task holds before it passes them on
-LIKELY = 4  # candidates of a document that the first turn verifies
+PAIRS = 1 << 18  # different pairs that a task holds before it passes them on
+FEW = 4  # the first turns look at one in so many of the merged lists
+LIKELY = 16  # candidates of a set that each of the first turns verifies
+TURNS = 2  # before all remaining pairs are taken
 GROUPED = 1_000_000  # named nodes, of two numbers each, that may be broadcast
 PROBES = 64  # long lists probed at once
 BLOCK = 1024  # sets of a group, about, that meet as many others at once
@@ -109,6 +111,17 @@ def _fingerprints(own: np.ndarray) -> tuple[int, int]:
     return tuple(int(x.view(np.int64)) for x in sums)  # type: ignore[return-value]
 
 
+def _named_sets(docs: DataFrame, k: int) -> DataFrame:
+    """For each row: id, n, and two fingerprints of its set."""
+
+    def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            made = [(len(own), *_fingerprints(own)) for own in shingle_sets(raw_texts(batch.column(1)), k)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(x, pa.int64()) for x in zip(*made)]], ["id", "n", "one", "two"])
+
+    return docs.mapInArrow(name, f"id {docs.schema['id'].dataType.simpleString()}, n long, one long, two long")
+
+
 def _rarest_first(own: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """A set in the order in which all sets rank their lists, and the logarithms that rank them."""
     logs = lengths[(own & np.uint64(len(lengths) - 1)).astype(np.int64)]
@@ -147,7 +160,9 @@ def _described(docs: DataFrame, lengths, k: int, percent: int) -> DataFrame:
     return docs.mapInArrow(describe, f"id {docs.schema['id'].dataType.simpleString()}, n long, one long, two long, longs long, cells binary, short array<long>, many array<long>")
 
 
-PIECE = ["gram", "low", "high"]  # one list, or two blocks of a list
+def _in_pieces(postings: DataFrame) -> DataFrame:
+    """Each list, or two blocks of a long one, in one task: ``piece`` numbers both blocks and, in its last bit, a set's own."""
+    return postings.repartition("gram", F.shiftright("piece", 1)).sortWithinPartitions("gram", "piece")
 
 
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, np.ndarray]]:
@@ -169,8 +184,7 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, np.ndar
 def _cuts(table: pa.Table) -> np.ndarray:
     new = np.ones(table.num_rows + 1, bool)
     new[1:-1] = False
-    for name in PIECE:
-        own = table.column(name).to_numpy()
+    for own in (table.column("gram").to_numpy(), table.column("piece").to_numpy() >> 1):
         new[1:-1] |= own[1:] != own[:-1]
     return np.flatnonzero(new)
 
@@ -191,14 +205,15 @@ def _merged_lists(classes: DataFrame, percent: int) -> DataFrame:
     hot = classes.select(F.explode("many").alias("gram")).groupBy("gram").agg(F.ceil(F.count(F.lit(1)) / LIST).cast("int").alias("blocks")).where("blocks > 1")
     listed = classes.select(F.explode("short").alias("gram"), "id").join(broadcast_if_small(cut(hot), 100_000), "gram", "left")
     placed = (
-        listed.withColumn("own", F.coalesce(F.expr("cast(pmod(xxhash64(id), blocks) as int)"), F.lit(0)))
-        .withColumn("other", F.explode(F.expr("if(blocks is null, array(0), sequence(0, blocks - 1))")))
-        .select("gram", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", (F.col("blocks").isNotNull() & (F.col("own") == F.col("other"))).alias("dealt"), "id")
+        listed.withColumn("own", F.coalesce(F.expr("pmod(xxhash64(id), blocks)"), F.lit(0)).cast("long"))
+        .withColumn("other", F.explode(F.expr("if(blocks is null, array(0L), sequence(0L, blocks - 1L))")))
+        .withColumn("piece", F.shiftleft(F.least("own", "other"), 32) + F.shiftleft(F.greatest("own", "other"), 1) + (F.col("own") > F.col("other")).cast("long"))
+        .select("gram", "piece", (F.col("blocks").isNotNull() & (F.col("own") == F.col("other"))).alias("dealt"), "id")
     )
-    merged = cut(placed.repartition(*PIECE).sortWithinPartitions(*PIECE).mapInArrow(shared, "gram long, low int, high int, own int, id long"))
-    met = merged.where("low = high").groupBy("id").agg(F.count(F.lit(1)).alias("c"))
+    merged = cut(_in_pieces(placed).mapInArrow(shared, "gram long, piece long, id long"))
+    met = merged.where("shiftright(piece, 32) = shiftright(piece & 4294967295, 1)").groupBy("id").agg(F.count(F.lit(1)).alias("c"))
     able = classes.select("id", "n", "longs", "cells").join(met, "id").where(100 * (F.col("c") + F.col("longs")) >= percent * F.col("n"))
-    return cut(merged.join(able, "id").select(*PIECE, "own", "id", "n", "c", "longs", "cells").repartition(*PIECE).sortWithinPartitions(*PIECE))
+    return cut(_in_pieces(merged.join(able.drop("longs"), "id").select("gram", "piece", "id", "n", "c", "cells")))
 
 
 def _cells(column: pa.ChunkedArray) -> np.ndarray:
@@ -246,28 +261,28 @@ def _meetings(ns: np.ndarray, most: np.ndarray, groups: np.ndarray, percent: int
             begin = end
 
 
-def _candidates(lists: DataFrame, grouped: DataFrame | None, percent: int, likely: bool) -> DataFrame:
+def _candidates(lists: DataFrame, grouped: DataFrame | None, percent: int, longest: int, turn: int | None) -> DataFrame:
     """Candidate pairs (a, b, hits) of different groups from the merged lists.
 
-    If ``likely``, each set of a list meets those 1, 2, 4, 8, ... places before it in a shuffled
-    order, so a list of n makes at most n log n pairs; hits are then only a rank.  Otherwise all
-    sets meet that their sizes, counts and histograms allow, and pairs remain whose hits reach
-    the overlap that they need less the long lists.
+    With a ``turn``, each set of one in FEW lists meets those 1, 2, 4, 8, ... places before it in an
+    order that the turn shuffles, so a list of n makes at most n log n pairs; hits are then only a
+    rank.  Without one all sets meet that their sizes, counts and histograms allow, in all lists, and pairs
+    remain whose hits reach the overlap that they need less the long lists.
     """
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, waiting = [], 0
+        done, held, waiting = None, [], 0
         for table, cuts in _runs(batches):
-            low, high, own, ns, cs, longs, ids, groups = (table.column(c).to_numpy() for c in ("low", "high", "own", "n", "c", "longs", "id", "group"))
-            cells = None
+            piece, ns, cs, ids, groups = (table.column(c).to_numpy() for c in ("piece", "n", "c", "id", "group"))
+            longs, cells = _long_lists(ns, percent, longest), None
             for begin, end in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
                 f, group = end - begin, groups[begin:end]
                 if group.min() == group.max():
                     continue
                 if cells is None:
                     cells = _cells(table.column("cells"))
-                if likely:
-                    order = np.argsort(mix(ids[begin:end].view(np.uint64)))
+                if turn is not None:
+                    order = np.argsort(mix(ids[begin:end].view(np.uint64) + np.uint64(turn * 7919)))
                     meetings = ((order[: f - (1 << s)], order[1 << s :]) for s in range((f - 1).bit_length()))
                 else:
                     meetings = _meetings(ns[begin:end], (cs + longs)[begin:end], group, percent)
@@ -275,39 +290,44 @@ def _candidates(lists: DataFrame, grouped: DataFrame | None, percent: int, likel
                     x, y = x + begin, y + begin
                     need = _needed(ns[x], ns[y], percent) - np.maximum(longs[x], longs[y])
                     fit = (groups[x] != groups[y]) & (np.minimum(cs[x], cs[y]) >= need) & (100 * np.minimum(ns[x], ns[y]) >= percent * np.maximum(ns[x], ns[y]))
-                    if low[begin] != high[begin]:
-                        fit &= own[x] != own[y]
+                    if (piece[begin] >> 32) != (piece[begin] & 0xFFFFFFFF) >> 1:  # two blocks: only pairs across
+                        fit &= (piece[x] & 1) != (piece[y] & 1)
                     x, y, need = x[fit], y[fit], need[fit]
                     if len(x):
                         fit = _possible(x, y, ns, cells, percent)
                         x, y = ids[x[fit]], ids[y[fit]]
-                        held.append((np.minimum(x, y), np.maximum(x, y), need[fit]))
+                        held.append((np.minimum(x, y), np.maximum(x, y), need[fit], np.ones(len(x), np.int64)))
                         waiting += len(x)
-                    if waiting > PAIRS:
-                        yield _counted(held)
-                        held, waiting = [], 0
-        if waiting:
-            yield _counted(held)
-
+                    if waiting > PAIRS:  # count what is held; pass it on only if it is many different pairs
+                        done, held, waiting = _counted([done, *held] if done else held), [], 0
+                        if len(done[0]) > PAIRS:
+                            yield pa.RecordBatch.from_arrays(list(map(pa.array, done)), names)
+                            done = None
+        if held or done:
+            yield pa.RecordBatch.from_arrays(list(map(pa.array, _counted([done, *held] if done else held))), names)
+
+    names = ["a", "b", "need", "hits"]
+    if turn is not None:
+        lists = lists.where(F.pmod("gram", F.lit(FEW)) == turn % FEW)
     met = lists.withColumn("group", F.col("id"))
     if grouped is not None:
-        names = grouped.select(F.col("node").alias("id"), "component")
-        few = names.limit(GROUPED + 1).count() <= GROUPED
-        met = lists.join(F.broadcast(names) if few else names, "id", "left").withColumn("group", F.coalesce("component", "id"))
+        named = grouped.select(F.col("node").alias("id"), "component")
+        few = named.limit(GROUPED + 1).count() <= GROUPED
+        met = lists.join(F.broadcast(named) if few else named, "id", "left").withColumn("group", F.coalesce("component", "id"))
         if not few:  # a broadcast leaves the lists in their order
-            met = met.repartition(*PIECE).sortWithinPartitions(*PIECE)
-    pairs = met.select(*PIECE, "own", "n", "c", "longs", "id", "group", "cells").mapInArrow(merge, "a long, b long, need long, hits long")
+            met = _in_pieces(met)
+    pairs = met.select("gram", "piece", "n", "c", "id", "group", "cells").mapInArrow(merge, "a long, b long, need long, hits long")
     pairs = pairs.groupBy("a", "b", "need").agg(F.sum("hits").alias("hits")).where("a <> b")
-    return pairs.select("a", "b", "hits") if likely else pairs.where("hits >= need").select("a", "b", "hits")
+    return pairs.select("a", "b", "hits") if turn is not None else pairs.where("hits >= need").select("a", "b", "hits")
 
 
-def _counted(held: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
-    a, b, need = (np.concatenate(x) for x in zip(*held))
+def _counted(held: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
+    """Different pairs and the sums of their hits."""
+    a, b, need, hits = (np.concatenate(x) for x in zip(*held))
     order = np.lexsort((need, b, a))
-    a, b, need = a[order], b[order], need[order]
-    first = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1]) | (need[1:] != need[:-1])]))
-    hits = np.diff(np.append(first, len(a)))
-    return pa.RecordBatch.from_arrays([pa.array(x) for x in (a[first], b[first], need[first], hits)], ["a", "b", "need", "hits"])
+    a, b, need, hits = a[order], b[order], need[order], hits[order]
+    first = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1]) | (need[1:] != need[:-1])])) if len(a) else np.zeros(0, np.int64)
+    return a[first], b[first], need[first], np.add.reduceat(hits, first) if len(a) else hits
 
 
 def links_by_probes(x: np.ndarray, y: np.ndarray, lengths: np.ndarray, percent: int, longest: int) -> bool:
@@ -448,8 +468,8 @@ def jaccard_groups(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str =
     null, has none and links with nothing.
 
     Equal sets meet by fingerprint, so copies count once.  The others are found by the module's
-    T-occurrence search, in two turns.  The first verifies a few likely candidates of each set and
-    joins what links, so a large group of near copies isn't expanded into its pairs.  The second
+    T-occurrence search, in turns.  The first ones verify a few likely candidates of each set and
+    join what links, so a large group of near copies isn't expanded into its pairs.  The last
     takes all pairs of sets that are still in different groups, counts their hits in the merged
     lists over the cluster, drops those under the threshold and probes the long lists for the
     rest, so no link between groups is lost.  A list of more than LIST sets is dealt into blocks
@@ -465,26 +485,32 @@ def jaccard_groups(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str =
     spark, percent = docs.sparkSession, int(percent)
     plain = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     lengths = spark.sparkContext.broadcast(list_lengths(plain, "text", k))
-    rows = cut(_described(plain, lengths, k, percent))
+    longest = int(lengths.value.max(initial=0))
     firsts = [F.first(x).alias(x) for x in ("n", "longs", "cells", "short", "many")]
     classes = cut(
-        rows.where("n > 0 and id is not null").groupBy("one", "two")
+        _described(plain, lengths, k, percent).where("n > 0 and id is not null").groupBy("one", "two")
         .agg(F.min("id").alias("id"), *firsts, F.count(F.lit(1)).alias("times"))
         .withColumn("c", F.monotonically_increasing_id())  # ids may repeat with other texts
     )
     lists, texts = _merged_lists(classes, percent), plain.where("id is not null")
     by_hits = Window.partitionBy("b").orderBy(F.col("hits").desc(), "a")
-    likely = _candidates(lists, None, percent, likely=True).withColumn("k", F.row_number().over(by_hits)).where(F.col("k") <= LIKELY)
-    likely = cut(likely.select("a", "b"), EDGES)
-    found = _linked(likely, texts, lengths, k, percent)
-    grouped = components(found)
-    others = _candidates(lists, grouped, percent, likely=False).join(likely, ["a", "b"], "left_anti")  # no pair is verified twice
-    found = _linked(cut(others.select("a", "b"), EDGES), texts, lengths, k, percent)
-    grouped = components(found.unionByName(grouped.select(F.col("node").alias("a"), F.col("component").alias("b"))))
+    grouped, tried = None, None
+    for turn in [*range(TURNS), None]:
+        pairs = _candidates(lists, grouped, percent, longest, turn)
+        if turn is not None:
+            pairs = pairs.withColumn("k", F.row_number().over(by_hits)).where(F.col("k") <= LIKELY)
+        if tried is not None:  # no pair is verified twice
+            pairs = pairs.join(tried, ["a", "b"], "left_anti")
+        pairs = cut(pairs.select("a", "b"), EDGES)
+        tried = pairs if tried is None else tried.unionByName(pairs)
+        found = _linked(pairs, texts, lengths, k, percent)
+        if grouped is not None:
+            found = found.unionByName(grouped.select(F.col("node").alias("a"), F.col("component").alias("b")))
+        grouped = components(found)
     named = classes.select("one", "two", "c", "times", F.col("id").alias("node")).join(grouped, "node", "left").withColumn("_group", F.coalesce("component", "node"))
     if with_links:
         named = named.join(_link_counts(classes, grouped, texts, k, percent), "c", "left").withColumn("_n_links", F.col("times") - 1 + F.coalesce("links", F.lit(0)))
     kept = ["_group", "_n_links"] if with_links else ["_group"]
-    out = rows.select("id", "n", "one", "two").join(named.select("one", "two", *kept), ["one", "two"], "left")
+    out = _named_sets(plain, k).join(named.select("one", "two", *kept), ["one", "two"], "left")
     links_of = [F.when(F.col("id").isNotNull(), F.coalesce("_n_links", F.lit(0))).otherwise(0).alias("_n_links")] if with_links else []
     return out.select(F.col("id").alias("_id"), F.col("n").alias("_n_shingles"), F.when(F.col("id").isNotNull(), F.coalesce("_group", "id")).alias("_group"), *links_of)
