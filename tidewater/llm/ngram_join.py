@@ -29,6 +29,7 @@ COUNTERS = 1 << 24  # of the sketch that ranks lists, at most
 SEGMENT = 1 << 16
 FAN_IN = 32
 CELLS = 64  # of the histogram of a set that bounds overlaps
+BATCH = 1 << 14  # postings of much the same lists that come to one task, about
 LIST = 1 << 15  # sets of a merged list that meet in one task; longer lists are dealt into a grid
 PAIRS = 1 << 18  # different pairs that a task holds before it passes them on
 FEW = 4  # the first turns look at one in so many of the merged lists
@@ -160,9 +161,12 @@ def _described(docs: DataFrame, lengths, k: int, percent: int) -> DataFrame:
     return docs.mapInArrow(describe, f"id {docs.schema['id'].dataType.simpleString()}, n long, one long, two long, longs long, cells binary, short array<long>, many array<long>")
 
 
-def _in_pieces(postings: DataFrame) -> DataFrame:
-    """Each list, or two blocks of a long one, in one task: ``piece`` numbers both blocks and, in its last bit, a set's own."""
-    return postings.repartition("gram", F.shiftright("piece", 1)).sortWithinPartitions("gram", "piece")
+def _in_pieces(postings: DataFrame, *near: str) -> DataFrame:
+    """Each list, or two blocks of a long one, in one task: ``piece`` numbers both blocks and, in its last bit, a set's own.
+
+    Lists of equal columns ``near`` come to one task, side by side.
+    """
+    return postings.repartition(*(near or ["gram", F.shiftright("piece", 1)])).sortWithinPartitions(*near, "gram", "piece")
 
 
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, np.ndarray]]:
@@ -198,9 +202,10 @@ def _merged_lists(classes: DataFrame, percent: int) -> DataFrame:
 
     def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table, cuts in _runs(batches):
-            alone = np.zeros(table.num_rows, bool)
-            alone[cuts[:-1][np.diff(cuts) == 1]] = True
-            yield from table.filter(pa.array(~alone | table.column("dealt").to_numpy(zero_copy_only=False))).drop_columns("dealt").combine_chunks().to_batches()
+            alone = np.repeat(np.diff(cuts) == 1, np.diff(cuts))
+            leader = np.repeat(np.minimum.reduceat(table.column("id").to_numpy(), cuts[:-1]), np.diff(cuts))
+            kept = pa.array(~alone | table.column("dealt").to_numpy(zero_copy_only=False))
+            yield from table.drop_columns("dealt").append_column("leader", pa.array(leader)).filter(kept).combine_chunks().to_batches()
 
     hot = classes.select(F.explode("many").alias("gram")).groupBy("gram").agg(F.ceil(F.count(F.lit(1)) / LIST).cast("int").alias("blocks")).where("blocks > 1")
     listed = classes.select(F.explode("short").alias("gram"), "id").join(broadcast_if_small(cut(hot), 100_000), "gram", "left")
@@ -210,10 +215,14 @@ def _merged_lists(classes: DataFrame, percent: int) -> DataFrame:
         .withColumn("piece", F.shiftleft(F.least("own", "other"), 32) + F.shiftleft(F.greatest("own", "other"), 1) + (F.col("own") > F.col("other")).cast("long"))
         .select("gram", "piece", (F.col("blocks").isNotNull() & (F.col("own") == F.col("other"))).alias("dealt"), "id")
     )
-    merged = cut(_in_pieces(placed).mapInArrow(shared, "gram long, piece long, id long"))
+    merged = cut(_in_pieces(placed).mapInArrow(shared, "gram long, piece long, id long, leader long"))
     met = merged.where("shiftright(piece, 32) = shiftright(piece & 4294967295, 1)").groupBy("id").agg(F.count(F.lit(1)).alias("c"))
     able = classes.select("id", "n", "longs", "cells").join(met, "id").where(100 * (F.col("c") + F.col("longs")) >= percent * F.col("n"))
-    return cut(_in_pieces(merged.join(able.drop("longs"), "id").select("gram", "piece", "id", "n", "c", "cells")))
+    # lists of the same smallest set are much alike: side by side, a pair's hits add up in few tasks
+    many = merged.groupBy("leader").agg(F.ceil(F.count(F.lit(1)) / BATCH).alias("parts")).where("parts > 1")
+    wide = merged.join(able.drop("longs"), "id").join(broadcast_if_small(cut(many), 100_000), "leader", "left")
+    wide = wide.withColumn("part", F.when(F.col("parts").isNotNull(), F.expr("pmod(xxhash64(gram), parts)")).otherwise(0))
+    return cut(_in_pieces(wide.select("gram", "piece", "id", "n", "c", "cells", "leader", "part"), "leader", "part"))
 
 
 def _cells(column: pa.ChunkedArray) -> np.ndarray:
@@ -315,7 +324,7 @@ def _candidates(lists: DataFrame, grouped: DataFrame | None, percent: int, longe
         few = named.limit(GROUPED + 1).count() <= GROUPED
         met = lists.join(F.broadcast(named) if few else named, "id", "left").withColumn("group", F.coalesce("component", "id"))
         if not few:  # a broadcast leaves the lists in their order
-            met = _in_pieces(met)
+            met = _in_pieces(met, "leader", "part")
     pairs = met.select("gram", "piece", "n", "c", "id", "group", "cells").mapInArrow(merge, "a long, b long, need long, hits long")
     pairs = pairs.groupBy("a", "b", "need").agg(F.sum("hits").alias("hits")).where("a <> b")
     return pairs.select("a", "b", "hits") if turn is not None else pairs.where("hits >= need").select("a", "b", "hits")
