@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -14,12 +15,15 @@ EDGES = 50_000  # edges to a task, about, where components are found
 def checkpoint_folder(spark: SparkSession) -> str:
     """The folder that the cluster shares for what is cut.
 
-    It is the one named by ``spark.checkpoint.dir``.  Where that is unset, as in tests on one
-    machine, a temporary folder serves.
+    It is the one named by ``spark.checkpoint.dir``.  Where that is unset a temporary folder serves
+    a session on one machine only; on a cluster, where executors wouldn't see it, that is an error.
     """
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tidewater-checkpoint-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="tidewater-checkpoint-"))
     return context.getCheckpointDir()
 
 
@@ -53,7 +57,9 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     ``edges`` has columns ``a`` and ``b`` of one orderable type, without nulls.  Alternates
     large-star and small-star steps: each needs only the minimum of a node's neighbours, so a
     node with very many neighbours is pre-aggregated before the shuffle and never collected.
-    Only nodes that occur in an edge are returned; an empty graph gives an empty frame.
+    Only nodes that occur in an edge are returned; an empty graph gives an empty frame.  Rounds
+    grow as the logarithm of the longest path; a graph that needs more than ``rounds`` is an error,
+    never a partial result.
     """
     pairs = cut(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), EDGES)
     before = None

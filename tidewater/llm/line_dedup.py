@@ -13,13 +13,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidewater.llm.cluster import cut
+from tidewater.llm.cluster import broadcast_if_small, cut
 from tidewater.llm.words import slices
 
 BLANK = b" \t\n\x0b\x0c\r"
 SEGMENT = 1 << 16  # bytes of a filter that are merged as one row
 FAN_IN = 32  # rows merged at once, however many partitions there are
 CHUNK = 1 << 17  # hashes gathered before a filter takes them
+BITS = 1 << 29  # of a filter, at most: 64 MB
+HOT = 100_000  # holders of a key to a task, about
 
 
 def line_key(line: bytes, min_chars: int) -> bytes | None:
@@ -125,7 +127,7 @@ def twice_seen(docs: DataFrame, text_col: str, min_chars: int, bits: int) -> np.
 
 
 def dedup_lines(
-    docs: DataFrame, min_chars: int = 20, min_docs: int = 3, bits: int = 1 << 26, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame, min_chars: int = 20, min_docs: int = 3, bits: int | None = None, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
     """Drop lines that many documents share from all of them but the one with the largest id.
 
@@ -134,16 +136,20 @@ def dedup_lines(
     lines, except in the largest id that holds them.  Returns the columns of ``docs`` with the
     text changed, and ``_n_lines`` (before dropping) and ``_n_dropped``.
 
-    Two Bloom filters (once and twice seen, of a fixed ``bits`` whatever the input) choose
-    suspects.  Only suspected keys, as 128-bit digests, are shuffled for exact counting; only
-    documents with a suspected line are shuffled to meet their drops.  A filter that is too
-    small for its input makes more suspects and never changes the result.
+    Two Bloom filters (once and twice seen) choose suspects.  They have 16 bits, or ``bits`` in
+    all, for each line of the input, as a count says, but 2**29 at most, as every task gets them.
+    Only suspected keys, as 128-bit digests, are shuffled for exact counting; only documents with
+    a suspected line are shuffled to meet their drops.  A filter that is too small for its input
+    makes more suspects and never changes the result: at worst all digests are shuffled once.
 
     Null or empty text is one empty line and comes back as an empty text.  Rows that repeat an
     id count as one document; a null id is a document that is never the largest.
     """
     context = docs.sparkSession.sparkContext
     min_chars = max(1, min_chars)
+    if bits is None:
+        lines = docs.agg(F.sum(F.length(text_col) - F.length(F.replace(text_col, F.lit("\n"))) + 1)).first()[0] or 0
+        bits = min(BITS, max(1 << 20, 1 << (16 * lines - 1).bit_length()))
     twice = context.broadcast(twice_seen(docs, text_col, min_chars, bits))
     names = list(docs.columns)
     text_at = names.index(text_col)
@@ -166,11 +172,12 @@ def dedup_lines(
 
     id_type = docs.schema[id_col].dataType.simpleString()
     found = cut(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(suspects, f"id {id_type}, key binary").distinct())
-    shared = found.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.max("id").alias("keeper")).where(F.col("n") >= min_docs)
-    salts = 16
+    shared = cut(found.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.max("id").alias("keeper")).where(F.col("n") >= min_docs))
+    salted = shared.withColumn("salts", F.ceil(F.col("n") / HOT))  # keys that very many documents hold spread over tasks
+    hot = broadcast_if_small(salted.where("salts > 1").select("key", "salts"), 100_000)
     drops = (
-        found.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(salts)))
-        .join(shared.select("key", "keeper", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))).alias("salt")), ["key", "salt"])
+        found.join(hot, "key", "left").withColumn("salt", F.coalesce(F.expr("pmod(xxhash64(id), salts)"), F.lit(0).cast("long"))).drop("salts")
+        .join(salted.select("key", "keeper", F.explode(F.expr("sequence(0L, salts - 1)")).alias("salt")), ["key", "salt"])
         .where(~F.col("id").eqNullSafe(F.col("keeper")))
         .groupBy(F.col("id").alias("_line_id")).agg(F.collect_list("key").alias("_line_drops"))  # at most a document's lines
     )
