@@ -10,16 +10,16 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from tidewater.llm.unicode import Splitter
 from tidewater.llm.words import slices
 
 NONE = np.int32(2**31 - 1)  # the rank of a pair that doesn't merge
-LONG = 256  # longer pieces are merged one by one
+LONG = 256  # longer pieces get no row of a matrix: they are merged by themselves
 CHARS = 1 << 20  # characters of text that are split before their new pieces are encoded
-CACHED = 250_000  # pieces that a worker remembers
+CACHED = 250_000  # pieces of at most LONG characters that a worker remembers
 
 
 class PairTable:
@@ -156,8 +156,8 @@ def read_ranks(raw: bytes) -> dict[bytes, int]:
 
 
 @lru_cache(maxsize=2)
-def _worker_state(raw: bytes, pattern: str) -> tuple[ByteBpe, regex.Pattern, dict]:
-    return ByteBpe(read_ranks(raw)), regex.compile(pattern), {}
+def _worker_state(raw: bytes, pattern: str) -> tuple[ByteBpe, Splitter, dict]:
+    return ByteBpe(read_ranks(raw)), Splitter(pattern), {}
 
 
 def _chunks(texts: list[str | None]) -> Iterator[list[str]]:
@@ -200,11 +200,11 @@ def encode_decode(docs: DataFrame, ranks_path: str, pattern: str, with_ids: bool
                 pieces = [split.findall(text) for text in texts]
                 if len(cache) > CACHED:
                     cache.clear()
-                fresh = list(set().union(*pieces).difference(cache))
+                fresh, long = list(set().union(*pieces).difference(cache)), {}
                 for piece, own in zip(fresh, bpe.encode_pieces([p.encode() for p in fresh])):
-                    cache[piece] = (",".join(map(str, own)).encode(), bpe.decode(own), np.array(own, np.int32).tobytes())
+                    (cache if len(piece) <= LONG else long)[piece] = (",".join(map(str, own)).encode(), bpe.decode(own), np.array(own, np.int32).tobytes())
                 for own in pieces:
-                    found = [cache[p] for p in own]
+                    found = [cache[p] if p in cache else long[p] for p in own]
                     digests.append(hashlib.sha256(b",".join([x[0] for x in found])).hexdigest())
                     decoded.append(hashlib.sha256(b"".join([x[1] for x in found])).hexdigest())
                     packed = np.frombuffer(b"".join([x[2] for x in found]), np.int32)

@@ -3,21 +3,27 @@
 from __future__ import annotations
 
 import json
-import unicodedata
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidewater.llm.unicode import Splitter, composed, lowered
 from tidewater.llm.words import slices
 
 END = "</w>"
 CACHED = 500_000  # words, beginnings of words, and pairs of tokens, that a worker remembers
 REMEMBERED = 12  # letters of the beginnings that are remembered
+WORD = 256  # letters of words that are remembered whole
+# How the vocabulary's file says that texts are normalized and split.
+NORMALIZERS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]
+SPLITTERS = ["Split", "ByteLevel"]
 
 
 def byte_letters() -> list[str]:
@@ -37,7 +43,16 @@ class PrefixCounter:
 
     def __init__(self, raw: bytes):
         spec = json.loads(raw)
-        model = spec["model"]
+        model, splitters = spec["model"], spec["pre_tokenizer"].get("pretokenizers", [])
+        options = [splitters[0].get("invert"), splitters[0].get("behavior"), splitters[1].get("use_regex"), splitters[1].get("add_prefix_space")] if len(splitters) == 2 else None
+        if (
+            spec["normalizer"].get("normalizers") != NORMALIZERS
+            or [x["type"] for x in splitters] != SPLITTERS
+            or options != [True, "Removed", False, False]
+            or (model["type"], model["end_of_word_suffix"]) != ("BPE", END)
+            or any(t["normalized"] or t["lstrip"] or t["rstrip"] or t["single_word"] for t in spec["added_tokens"])
+        ):
+            raise ValueError("this vocabulary normalizes or splits texts in a way that isn't known here")
         self.vocab: dict[str, int] = model["vocab"]
         merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
         self.ranks = {pair: i for i, pair in enumerate(merges)}
@@ -45,8 +60,7 @@ class PrefixCounter:
         self.whole = {t[: -len(END)] for t in self.vocab if t.endswith(END)}  # tokens that end a word
         self.open = {t for t in self.vocab if not t.endswith(END)}
         self.letters = byte_letters()
-        split = next(p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
-        self.words = regex.compile(split)
+        self.words = Splitter(splitters[0]["pattern"]["Regex"])
         special = sorted((t["content"] for t in spec["added_tokens"]), key=len, reverse=True)
         self.special = regex.compile("|".join(map(regex.escape, special)) or r"(?!)")
         self.pairs: dict[tuple[str, str], bool] = {}
@@ -118,49 +132,81 @@ class PrefixCounter:
 
     @staticmethod
     def normal(text: str) -> str:
-        # the final sigma has no form of its own when letters are lowered one by one
-        return unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
+        return lowered(_BLANKS.sub(" ", composed(text)))
 
     def _counts_of(self, words: list[str]) -> list[int]:
         cache = self.counts
         if len(cache) > CACHED:
             cache.clear()
-        for word in set(words).difference(cache):
-            cache[word] = self.word_count(word)
-        return [cache[w] for w in words]
+        fresh = {w: self.word_count(w) for w in set(words).difference(cache)}
+        cache.update((w, n) for w, n in fresh.items() if len(w) <= WORD)
+        return [cache[w] if w in cache else fresh[w] for w in words]
 
-    def count(self, text: str) -> int:
-        total = 0
-        for k, part in enumerate(self.special.split(text)):
-            total += (k > 0) + sum(self._counts_of(self.words.findall(self.normal(part))))
-        return total
-
-    def fits(self, text: str, limit: int) -> int:
-        """The length of the longest prefix of the normalized text that has at most ``limit`` tokens."""
-        done, chars = 0, 0
+    def prefixes(self, text: str) -> "Prefixes":
+        """The counts at all prefixes of a text, from one pass over it."""
+        parts, begins, ends, counts, chars = [], [], [], [], 0
         marks = self.special.findall(text)
         for k, part in enumerate(self.special.split(text)):
             part = self.normal(part)
             spans = [m.span() for m in self.words.finditer(part)]
-            counts = self._counts_of([part[a:b] for a, b in spans])
-            ends = done + np.cumsum([0, *counts])
-            full = int(np.searchsorted(ends, limit, side="right")) - 1  # words that fit
-            if full < len(spans):
-                begin = spans[full][0]
-                table = self.word_table(part[begin : spans[full][1]])
-                return chars + begin + sum(1 for _ in _while_at_most(table, limit - int(ends[full])))
-            done, chars = int(ends[-1]), chars + len(part)
-            if k < len(marks):
-                if done + 1 > limit:
-                    return chars
-                done, chars = done + 1, chars + len(marks[k])
-        return chars
-
-
-def _while_at_most(values: list[int], most: int) -> Iterator[int]:
-    """The values up to the last one of the table that is at most ``most``."""
-    last = max((i for i, v in enumerate(values) if v <= most), default=-1)
-    yield from values[: last + 1]
+            begins += [a + chars for a, _ in spans]
+            ends += [b + chars for _, b in spans]
+            counts += self._counts_of([part[a:b] for a, b in spans])
+            parts.append(part)
+            chars += len(part)
+            if k < len(marks):  # a special token is whole or not there
+                begins.append(chars)
+                chars += len(marks[k])
+                ends.append(chars)
+                counts.append(1)
+                parts.append(marks[k])
+        return Prefixes(self, "".join(parts), np.array(begins, np.int64), np.array(ends, np.int64), np.cumsum([0, *counts]), set(marks))
+
+
+_BLANKS = regex.compile(r"\s+")
+
+
+@dataclass
+class Prefixes:
+    """The counts at all prefixes of a normalized text.
+
+    ``totals`` holds the count before each word and after the last one.  Inside a word, the count
+    is the total before it and an entry of the word's own table, which is made when it is asked for.
+    """
+
+    counter: PrefixCounter
+    text: str
+    begins: np.ndarray
+    ends: np.ndarray
+    totals: np.ndarray
+    specials: set[str]
+
+    def count(self) -> int:
+        return int(self.totals[-1])
+
+    def _table(self, word: int, most: int | None = None) -> list[int] | None:
+        own = self.text[self.begins[word] : self.ends[word]]
+        return None if own in self.specials else self.counter.word_table(own[:most])
+
+    def at(self, chars: int) -> int:
+        """The count of the prefix of so many characters."""
+        done = int(np.searchsorted(self.ends, chars, side="right"))
+        if done == len(self.ends) or self.begins[done] >= chars:
+            return int(self.totals[done])
+        table = self._table(done)
+        if table is None:
+            raise ValueError("a prefix that ends inside a special token has no count of its own")
+        return int(self.totals[done]) + table[chars - int(self.begins[done]) - 1]
+
+    def fits(self, limit: int) -> int:
+        """The length of the longest prefix that has at most ``limit`` tokens."""
+        if self.count() <= limit:
+            return len(self.text)
+        word = int(np.searchsorted(self.totals[1:], limit, side="right"))  # the first one that doesn't fit whole
+        begin = int(self.begins[word])
+        # no token is longer than the longest of the vocabulary
+        table = self._table(word, (limit - int(self.totals[word]) + 1) * self.counter.longest) or []
+        return begin + max((i + 1 for i, n in enumerate(table) if self.totals[word] + n <= limit), default=0)
 
 
 @lru_cache(maxsize=2)
@@ -168,14 +214,16 @@ def _counter(raw: bytes) -> PrefixCounter:
     return PrefixCounter(raw)
 
 
-def count_tokens(docs: DataFrame, vocabulary_path: str, limit: int = 2048, text_col: str = "text") -> DataFrame:
-    """Count the tokens of every whole text, and where a text reaches ``limit``.
+def count_tokens(docs: DataFrame, vocabulary_path: str, limit: int = 2048, text_col: str = "text", with_prefixes: bool = False) -> DataFrame:
+    """Count the tokens of every whole text at all its prefixes, and where it reaches ``limit``.
 
     Returns the columns of ``docs`` and ``_n_tokens`` and ``_fits_chars``: characters of the
     normalized text that ``limit`` tokens hold (all of them, if the text is within the limit).
-    Counts at the prefixes of a text are sums over its words; inside the word that crosses the
-    limit the word's own prefix table decides, so no prefix is encoded again.  Strings of
-    special tokens inside a text count as one token each.
+    One pass over a text gives its prefix counts: stored totals at the words, tables inside them.
+    ``with_prefixes`` adds ``_prefixes``, an array of (end, tokens) for every word of the
+    normalized text, from which ``tokens_at`` and ``fits_chars`` answer other questions on
+    truncation and budgets without a look at the text.  Strings of special tokens inside a text
+    count as one token each.
 
     Null and empty texts have no tokens; repeated rows, extra columns and empty tables need no
     care.  The vocabulary is read on the driver and sent to the tasks; it has a fixed size.
@@ -187,12 +235,30 @@ def count_tokens(docs: DataFrame, vocabulary_path: str, limit: int = 2048, text_
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = _counter(raw.value)
         for batch in slices(batches):
-            counts, fits = [], []
+            counts, fits, prefixes = [], [], []
             for text in batch.column(names.index(text_col)).to_pylist():
-                text = text or ""
-                counts.append(counter.count(text))
-                fits.append(counter.fits(text, limit) if counts[-1] > limit else len(counter.normal(text)))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(counts, pa.int64()), pa.array(fits, pa.int64())], [*names, "_n_tokens", "_fits_chars"])
-
-    added = [T.StructField("_n_tokens", T.LongType()), T.StructField("_fits_chars", T.LongType())]
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, *added]))
+                found = counter.prefixes(text or "")
+                counts.append(found.count())
+                fits.append(found.fits(limit))
+                if with_prefixes:
+                    prefixes.append([{"end": e, "tokens": n} for e, n in zip(found.ends.tolist(), found.totals[1:].tolist())])
+            new = [pa.array(counts, pa.int64()), pa.array(fits, pa.int64())]
+            new += [pa.array(prefixes, pa.list_(pa.struct([("end", pa.int32()), ("tokens", pa.int32())])))] * with_prefixes
+            yield pa.RecordBatch.from_arrays([*batch.columns, *new], [x.name for x in fields])
+
+    fields = [*docs.schema.fields, T.StructField("_n_tokens", T.LongType()), T.StructField("_fits_chars", T.LongType())]
+    one = T.StructType([T.StructField("end", T.IntegerType()), T.StructField("tokens", T.IntegerType())])
+    fields += [T.StructField("_prefixes", T.ArrayType(one))] * with_prefixes
+    return docs.mapInArrow(run, T.StructType(fields))
+
+
+def fits_chars(limit: int | Column, prefixes: str = "_prefixes") -> Column:
+    """Characters of the normalized text up to the last whole word that ``limit`` tokens hold."""
+    most = limit if isinstance(limit, Column) else F.lit(limit)
+    return F.coalesce(F.array_max(F.transform(F.filter(prefixes, lambda p: p["tokens"] <= most), lambda p: p["end"])), F.lit(0))
+
+
+def tokens_at(chars: int | Column, prefixes: str = "_prefixes") -> Column:
+    """Tokens of the whole words among the first ``chars`` characters of the normalized text."""
+    most = chars if isinstance(chars, Column) else F.lit(chars)
+    return F.coalesce(F.array_max(F.transform(F.filter(prefixes, lambda p: p["end"] <= most), lambda p: p["tokens"])), F.lit(0))
