@@ -8,7 +8,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -72,36 +72,42 @@ def _fit(x: np.ndarray, y: np.ndarray, steps: int = 150, penalty: float = 1e-5)
     return w, b
 
 
-def train_language_id(rows: DataFrame, per_language: int = 600, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id") -> LanguageModel:
+def train_language_id(rows: DataFrame, per_language: int = 600, text_col: str = "text", lang_col: str = "lang") -> LanguageModel:
     """Learn one binary n-gram classifier for each bit of the languages' codewords.
 
-    ``rows`` are labelled; those with a null language, a null text or no letter are not used.
-    The fit takes at most ``per_language`` rows of each language, those of least hash: a bound
-    on the training sample that doesn't depend on the input.  Tasks make the feature vectors, so
-    the driver gets vectors of a fixed width, never texts.
+    ``rows`` are labelled; those with a null language, a null text or no letter are not used, and
+    rows of one language with the same text count once.  The fit takes at most ``per_language``
+    texts of each language, those of least hash of the text: a bound on the training sample that
+    doesn't depend on the input.  Counts of different texts tell where to cut the hashes, so no
+    task gets more than a few times that number.  Tasks make the feature vectors, so the driver
+    gets vectors of a fixed width, never texts.
     """
     usable = rows.where(F.col(lang_col).isNotNull() & F.col(text_col).rlike(r"\p{L}")).select(
-        F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.xxhash64(F.lit(23), F.col(id_col), F.length(text_col)).alias("h")
+        F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.xxhash64(F.lit(23), F.col(text_col)).alias("h")
     )
-    # the least of each part of a language first, so that a common language isn't sorted by one task
-    parts = Window.partitionBy("lang", "part").orderBy("h")
-    few = usable.select("lang", "h", F.pmod(F.col("h"), F.lit(64)).alias("part")).withColumn("k", F.row_number().over(parts)).where(F.col("k") <= per_language)
-    whole = Window.partitionBy("lang").orderBy("h")
-    bounds = few.withColumn("k", F.row_number().over(whole)).where(F.col("k") <= per_language).groupBy("lang").agg(F.max("h").alias("most"))
-    bounds = bounds.collect()  # a row for each language
+
+    def under(bounds: list[tuple[str, int]]) -> Column:
+        """Hashes up to a bound for each language."""
+        found = F.lit(False)
+        for lang, most in bounds:
+            found = found | ((F.col("lang") == lang) & (F.col("h") <= most))
+        return found
+
+    sizes = usable.groupBy("lang").agg(F.approx_count_distinct("h", 0.02).alias("n")).collect()  # a row for each language
+    about = [(r["lang"], int(min(1.0, 3 * per_language / max(1, r["n"])) * 2**64) - 2**63 - 1) for r in sizes]
+    least = Window.partitionBy("lang").orderBy("h")
+    few = usable.select("lang", "h").where(under(about)).distinct().withColumn("k", F.row_number().over(least)).where(F.col("k") <= per_language)
+    bounds = [(r["lang"], r["most"]) for r in few.groupBy("lang").agg(F.max("h").alias("most")).collect()]
     if not bounds:
         return LanguageModel([], np.zeros((0, 1), np.float32), np.zeros((BUCKETS, 1), np.float32), np.zeros(1, np.float32), np.ones(1, np.float32))
-    chosen = F.lit(False)
-    for r in bounds:
-        chosen = chosen | ((F.col("lang") == r["lang"]) & (F.col("h") <= r["most"]))
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             made = [features(t).astype(np.float16).tobytes() for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(made, pa.binary())], ["lang", "h", "x"])
 
-    sample = usable.where(chosen).mapInArrow(vectors, "lang string, h long, x binary").limit(2 * per_language * len(bounds)).collect()
-    sample.sort(key=lambda r: (r["lang"], r["h"], bytes(r["x"])))
+    sample = usable.where(under(bounds)).mapInArrow(vectors, "lang string, h long, x binary").groupBy("lang", "h").agg(F.first("x").alias("x")).collect()
+    sample.sort(key=lambda r: (r["lang"], r["h"]))
     languages = sorted({r["lang"] for r in sample})
     code = codewords(len(languages))
     x = np.stack([np.frombuffer(r["x"], np.float16) for r in sample]).astype(np.float32)
@@ -114,7 +120,8 @@ def train_language_id(rows: DataFrame, per_language: int = 600, text_col: str =
 def identify_language(docs: DataFrame, model: LanguageModel, ambiguous_below: float = 0.6, text_col: str = "text") -> DataFrame:
     """Predict the language of every whole text.
 
-    The bits' classifiers vote; the codeword with the least weighted loss wins.  Returns the
+    The bits' classifiers vote; the codeword with the least weighted loss wins, of equal ones that
+    of the language first by code points.  Returns the
     columns of ``docs`` and ``_lang`` (``und`` if the text is null or has no letter, or nothing
     was learned), ``_score`` (the share of the winner among the codewords, 0 to 1; 0 for
     ``und``) and ``_ambiguous`` (the score is below ``ambiguous_below``).  Repeated rows,
