@@ -19,6 +19,8 @@ ORDER = 4  # characters of 16 bits in a 64-bit number
 BLOCK = 1 << 24  # bytes of text that share one slice of the model
 GRAMS = 200_000  # n-grams to a task, about
 EDGE = 2  # stands before a text
+NONE, FIT, LIMITS = 0, 1, 2  # what a document is for: to be scored only, for the model's counts, for the limits
+PARTS = 4  # one of so many parts of the trusted documents sets limits
 _BLANKS = re.compile(r"\s+")
 
 
@@ -78,10 +80,10 @@ def _gathered(docs: DataFrame) -> DataFrame:
                 rows, held, waiting = [], [], 0
             now = block
             rows.append(batch)
-            for text, trusted in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+            for text, part in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
                 own = grams(text)
                 if len(own):
-                    held.append((own, np.full(len(own), bool(trusted))))
+                    held.append((own, np.full(len(own), part == FIT)))
                     waiting += len(own)
             if waiting > 1 << 20:
                 held, waiting = [_merged(held)], 0
@@ -111,14 +113,16 @@ def _suffix(g: str, n: int) -> Column:
 def kneser_ney(counted: DataFrame) -> DataFrame:
     """``(g, logp)`` for every 4-gram ``g`` of ``counted``, from the ``times`` each occurs in trusted text.
 
-    Interpolated modified Kneser-Ney: raw counts at the highest order, counts of different
-    left neighbours below, three discounts for each order from counts of counts, and the uniform
-    distribution under the lowest.  All joins are on the n-gram or its context, both hashed over
+    Interpolated modified Kneser-Ney: raw counts at the highest order and of n-grams that begin a
+    text, counts of different left neighbours of the others, three discounts for each order from
+    counts of counts, and the uniform distribution under the lowest.  All joins are on the n-gram or its context, both hashed over
     the cluster; only four counts of counts an order reach the driver.
     """
     seen, wanted = {ORDER: counted.where("times > 0").select("g", F.col("times").alias("c"))}, {ORDER: counted.select("g")}
     for n in range(ORDER - 1, 0, -1):
-        seen[n] = cut(seen[n + 1].groupBy(_suffix("g", n + 1).alias("g")).agg(F.count(F.lit(1)).alias("c")), GRAMS)
+        begins = F.shiftrightunsigned("g", 16 * (n - 1)).bitwiseAND(F.lit(0xFFFF)) == EDGE  # nothing else stands before it
+        lower = seen[n + 1].groupBy(_suffix("g", n + 1).alias("g")).agg(F.count(F.lit(1)).alias("kinds"), F.sum("c").alias("raw"))
+        seen[n] = cut(lower.select("g", F.when(begins, F.col("raw")).otherwise(F.col("kinds")).alias("c")), GRAMS)
         wanted[n] = cut(wanted[n + 1].select(_suffix("g", n + 1).alias("g")).distinct(), GRAMS)
     kinds = wanted[1].count() + 1
     p = wanted[1].select("g", F.lit(1.0 / kinds).alias("p"))
@@ -143,14 +147,14 @@ def kneser_ney(counted: DataFrame) -> DataFrame:
     return p.select("g", F.log("p").cast("float").alias("logp"))
 
 
-def perplexities(docs: DataFrame, trusted: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """``id``, ``lang``, ``trusted``, ``n`` (characters scored) and ``perplexity`` (null without characters) of each row.
+def perplexities(docs: DataFrame, part: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """``id``, ``lang``, ``part``, ``n`` (characters scored) and ``perplexity`` (null without characters) of each row.
 
-    Blocks of documents stand for their different 4-grams, so counts, not occurrences, are
+    ``part`` is FIT for the documents that the model counts.  Blocks of documents stand for their different 4-grams, so counts, not occurrences, are
     shuffled: to the shards that add them, and back as the block's slice of the model, which the
     block's packed rows meet.
     """
-    plain = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.coalesce(trusted, F.lit(False)).alias("trusted"), F.col(lang_col).alias("lang"))
+    plain = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.coalesce(part, F.lit(NONE)).alias("part"), F.col(lang_col).alias("lang"))
     # many small partitions would make many small blocks
     size = plain.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     plain = plain.coalesce(max(size // BLOCK + 1, docs.sparkSession.sparkContext.defaultParallelism))
@@ -172,11 +176,11 @@ def perplexities(docs: DataFrame, trusted: Column, id_col: str = "doc_id", text_
                 sizes.append(len(own))
                 found.append(float(np.exp(-logp[np.searchsorted(known, own)].mean())) if len(own) else None)
             ids = pd.Series(rows.column("id").to_pylist(), dtype=object)
-            out.append(pd.DataFrame({"id": ids, "lang": rows.column("lang").to_pylist(), "trusted": rows.column("trusted").to_pylist(), "n": sizes, "perplexity": pd.array(found, "Float64")}))
+            out.append(pd.DataFrame({"id": ids, "lang": rows.column("lang").to_pylist(), "part": rows.column("part").to_pylist(), "n": sizes, "perplexity": pd.array(found, "Float64")}))
         return pd.concat(out)
 
     blocks = gathered.select("block", "rows").groupBy("block").cogroup(slices_of.groupBy("block"))
-    return blocks.applyInPandas(score, f"id {id_type}, lang string, trusted boolean, n long, perplexity double")
+    return blocks.applyInPandas(score, f"id {id_type}, lang string, part int, n long, perplexity double")
 
 
 def classify_quality(
@@ -186,20 +190,24 @@ def classify_quality(
     """Keep documents whose perplexity is usual for trusted text of their language.
 
     Trusted are documents that ``labels`` (``doc_id``, ``quality``, ``toxic``) calls good and not
-    toxic.  Each language's limits are quantiles of its trusted documents' perplexities, widened by
-    ``slack``: above, text is unlike the trusted one; below, it repeats itself.  A language
-    without trusted documents, or a null language, takes the quantiles of all trusted ones.
+    toxic.  The hash of their text parts them: three of four parts are what the model counts, the
+    fourth, which it hasn't seen, sets the limits.  Each language's limits are quantiles of the
+    perplexities there, widened by ``slack``: above, text is unlike the trusted one; below, it
+    repeats itself.  A language without documents in that part, or a null language, takes the
+    quantiles of all of them.
 
     Returns ``_id``, ``_lang``, ``_n`` (characters scored), ``_perplexity``, ``_low``, ``_high`` and
-    ``_kept``.  Null and empty texts have a null perplexity and aren't kept.  Without any trusted
-    document there are no limits and every text with characters is kept.  Rows that repeat are
+    ``_kept``.  Null and empty texts have a null perplexity and aren't kept.  Without any
+    document that sets limits there are none and every text with characters is kept.  Rows that repeat are
     scored each; repeated labels trust an id if any of them does.
     """
     trusted = labels.where("quality = 1 and toxic = 0 and doc_id is not null").select(F.col("doc_id").alias("_trusted_id")).distinct()
     marked = docs.select(id_col, text_col, lang_col).join(broadcast_if_small(trusted, 1_000_000), F.col(id_col) == F.col("_trusted_id"), "left")
-    scored = cut(perplexities(marked, F.col("_trusted_id").isNotNull(), id_col, text_col, lang_col))
+    held_out = F.pmod(F.xxhash64(F.lit(31), F.col(text_col)), F.lit(PARTS)) == 0
+    part = F.when(F.col("_trusted_id").isNull(), NONE).when(held_out, LIMITS).otherwise(FIT)
+    scored = cut(perplexities(marked, part, id_col, text_col, lang_col))
     limits = lambda: (F.percentile_approx("perplexity", low, 10_000) / slack, F.percentile_approx("perplexity", high, 10_000) * slack)
-    good = scored.where("trusted and perplexity is not null")
+    good = scored.where((F.col("part") == LIMITS) & F.col("perplexity").isNotNull())
     overall = good.agg(*limits()).first()
     by_lang = good.where("lang is not null").groupBy(F.col("lang").alias("of")).agg(*[x.alias(name) for x, name in zip(limits(), ("low", "high"))])
     return scored.join(broadcast_if_small(by_lang, 10_000), F.col("lang") == F.col("of"), "left").select(
