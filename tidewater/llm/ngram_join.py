@@ -161,12 +161,12 @@ def _described(docs: DataFrame, lengths, k: int, percent: int) -> DataFrame:
     return docs.mapInArrow(describe, f"id {docs.schema['id'].dataType.simpleString()}, n long, one long, two long, longs long, cells binary, short array<long>, many array<long>")
 
 
-def _in_pieces(postings: DataFrame, *near: str) -> DataFrame:
+def _in_pieces(postings: DataFrame, *near: str, tasks: int | None = None) -> DataFrame:
     """Each list, or two blocks of a long one, in one task: ``piece`` numbers both blocks and, in its last bit, a set's own.
 
     Lists of equal columns ``near`` come to one task, side by side.
     """
-    return postings.repartition(*(near or ["gram", F.shiftright("piece", 1)])).sortWithinPartitions(*near, "gram", "piece")
+    return postings.repartition(*[tasks] * bool(tasks), *(near or ["gram", F.shiftright("piece", 1)])).sortWithinPartitions(*near, "gram", "piece")
 
 
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, np.ndarray]]:
@@ -222,7 +222,7 @@ def _merged_lists(classes: DataFrame, percent: int) -> DataFrame:
     many = merged.groupBy("leader").agg(F.ceil(F.count(F.lit(1)) / BATCH).alias("parts")).where("parts > 1")
     wide = merged.join(able.drop("longs"), "id").join(broadcast_if_small(cut(many), 100_000), "leader", "left")
     wide = wide.withColumn("part", F.when(F.col("parts").isNotNull(), F.expr("pmod(xxhash64(gram), parts)")).otherwise(0))
-    return cut(_in_pieces(wide.select("gram", "piece", "id", "n", "c", "cells", "leader", "part"), "leader", "part"))
+    return cut(_in_pieces(wide.select("gram", "piece", "id", "n", "c", "cells", "leader", "part"), "leader", "part", tasks=merged.count() // BATCH + 1))
 
 
 def _cells(column: pa.ChunkedArray) -> np.ndarray:
