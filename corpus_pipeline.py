@@ -10,6 +10,7 @@ from __future__ import annotations
 import os
 import uuid
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,7 +20,6 @@ from tidewater.llm.language_id import UNKNOWN, identify_language, is_held_out, t
 from tidewater.llm.line_dedup import dedup_lines
 from tidewater.llm.mixing import mixed_documents
 from tidewater.llm.ngram_join import jaccard_groups
-from tidewater.llm.queries import PATTERN, TOKENIZERS
 
 
 def identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -56,7 +56,7 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokenized(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The token ids of every document, and the digest of what they decode to."""
-    encoded = encode_decode(docs, f"{TOKENIZERS}/byte_bpe_multi_50k.tiktoken", PATTERN, with_ids=True)
+    encoded = encode_decode(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN, with_ids=True)
     return encoded.select("doc_id", "lang", "source", F.col("_ids").alias("ids"), F.col("_n_tokens").alias("n_tokens"), F.col("_decoded_sha256").alias("decoded_sha256"))
 
 

@@ -3,9 +3,11 @@
 import base64
 import hashlib
 import itertools
+import json
 import math
 import os
 import re
+import unicodedata
 import zlib
 from collections import Counter, defaultdict
 
@@ -277,6 +279,31 @@ def test_language_id_on_held_out_rows(spark, odd_texts):
     assert all(0 <= r["_score"] <= 1 for r in got.values())
     strange = identify_language(spark.createDataFrame(odd(odd_texts) + [(77, "123 !!", None, None)], DOCS).withColumn("score", F.lit(0)), model).collect()
     assert {r["_lang"] for r in strange if r["text"] in (None, "", "123 !!")} == {"und"} and len(strange) == len(odd_texts) + 4
+    # a plain decoder: every n-gram and every codeword one by one
+    letters = re.compile(r"[^\W\d_]")
+    for r in list(got.values())[:120] + strange:
+        text = r["text"] or ""
+        if not letters.search(text):
+            assert (r["_lang"], r["_score"]) == ("und", 0.0)
+            continue
+        raw, counts = f" {text.lower()} ".encode(), Counter()
+        for i in range(len(raw) - 1):
+            counts[((raw[i] * 257 + raw[i + 1]) * 2654435761 % 2**32) >> 20] += 1
+        for i in range(len(raw) - 2):
+            counts[(((raw[i] * 257 + raw[i + 1]) * 263 + raw[i + 2] + 2**20) * 2654435761 % 2**32) >> 20] += 1
+        whole, losses = sum(counts.values()), []
+        margins = [sum(math.sqrt(n / whole) * float(model.weights[b, bit]) for b, n in counts.items()) + float(model.bias[bit]) for bit in range(len(model.bias))]
+        for word in model.code:
+            losses.append(sum(float(t) * math.log1p(math.exp(-float(c) * m)) for c, m, t in zip(word, margins, model.trust)))
+        best = min(range(len(losses)), key=lambda k: (losses[k], k))
+        score = math.exp(-losses[best]) / sum(math.exp(-x) for x in losses)
+        assert math.isclose(r["_score"], score, abs_tol=2e-3) and r["_ambiguous"] == (r["_score"] < 0.6)
+        assert r["_lang"] == model.languages[best] or sorted(losses)[1] - sorted(losses)[0] < 2e-3
+    # the same texts again, under other ids, change neither the sample nor the model
+    again = train_language_id(docs.where(~is_held_out()).withColumn("doc_id", F.lit(None).cast("long")).unionByName(docs.where(~is_held_out()).where("lang = 'aa'")).repartition(7))
+    assert again.languages == model.languages and abs(again.weights - model.weights).max() < 1e-6
+    few = train_language_id(docs, per_language=20)
+    assert sum(r["_lang"] == r["lang"] for r in identify_language(docs, few).collect()) > 0.9 * len(rows)
     empty = train_language_id(docs.limit(0))
     assert {r["_lang"] for r in identify_language(docs, empty).collect()} == {"und"} and identify_language(docs.limit(0), model).count() == 0
 
@@ -296,8 +323,9 @@ def test_codewords_lie_apart():
 def test_bpe_equals_the_library(spark, corpus, odd_texts):
     import tiktoken
 
+    from public_tokenizers import PATTERN
+
     from tidewater.llm.byte_bpe import decode_ids, encode_decode, read_ranks
-    from tidewater.llm.queries import PATTERN
 
     path = f"{TOKENIZERS}/byte_bpe_multi_50k.tiktoken"
     with open(path, "rb") as f:
@@ -347,7 +375,7 @@ def test_token_counts_equal_the_library(spark, corpus, odd_texts):
     path = f"{TOKENIZERS}/word_bpe_49k.json"
     library = Tokenizer.from_file(path)
     extra = ["<|endoftext|>a<|startoftext|><|endoftext|>", "don't WE'LL 12½ x_y-z", "\x85 é́"]
-    docs = spark.createDataFrame([(k, t, None, None) for k, t in enumerate([t[:20_000] if t else t for t in odd_texts] + extra)] + corpus, DOCS)
+    docs = spark.createDataFrame([(k, t, None, None) for k, t in enumerate(odd_texts + extra)] + corpus, DOCS)
     for r in count_tokens(docs, path, limit=30).collect():
         assert r["_n_tokens"] == len(library.encode(r["text"] or "", add_special_tokens=False).ids)
     assert count_tokens(docs.limit(0), path).count() == 0
@@ -358,15 +386,71 @@ def test_prefix_counts_answer_budgets(corpus):
     from tidewater.llm.token_counts import PrefixCounter
 
     with open(f"{TOKENIZERS}/word_bpe_49k.json", "rb") as f:
-        counter = PrefixCounter(f.read())
+        raw = f.read()
+    counter = PrefixCounter(raw)
     for text in [corpus[0][1], "Übergrößenträger 日本語テキスト <|endoftext|> ok"]:
-        plain = counter.normal(text) if "<|" not in text else None
+        found = counter.prefixes(text)
+        plain = found.text if "<|" not in text else None
         for limit in (0, 1, 2, 5, 20, 10_000):
-            n = counter.fits(text, limit)
+            n = found.fits(limit)
             if plain is not None:
-                assert counter.count(plain[:n]) <= limit and (n == len(plain) or counter.count(plain[: n + 1]) > limit)
+                assert found.at(n) <= limit and (n == len(plain) or found.at(n + 1) > limit)
+        if plain is not None:
+            assert [found.at(n) for n in range(len(plain) + 1)] == [counter.prefixes(plain[:n]).count() for n in range(len(plain) + 1)]
         word = max(WORD.findall(text.lower()), key=len)
-        assert counter.word_table(word) == [counter.count(word[: i + 1]) for i in range(len(word))]
+        assert counter.word_table(word) == [counter.prefixes(word[: i + 1]).count() for i in range(len(word))]
+    spec = json.loads(raw)
+    spec["normalizer"]["normalizers"].pop()
+    with pytest.raises(ValueError, match="known"):
+        PrefixCounter(json.dumps(spec).encode())
+
+
+@needs_tokenizers
+def test_stored_prefixes_answer_any_budget(spark, corpus):
+    from tidewater.llm.token_counts import count_tokens, fits_chars, tokens_at
+
+    docs = spark.createDataFrame(corpus[:20] + [(9, None, None, None), (10, "a  b <|endoftext|>c", None, None)], DOCS)
+    counted = count_tokens(docs, f"{TOKENIZERS}/word_bpe_49k.json", with_prefixes=True)
+    for limit in (0, 3, 40, 10_000):
+        rows = counted.select("_prefixes", fits_chars(limit).alias("fits"), tokens_at(fits_chars(limit)).alias("tokens"), "_n_tokens").collect()
+        for r in rows:
+            ends = [(p["end"], p["tokens"]) for p in r["_prefixes"] if p["tokens"] <= limit]
+            assert (r["fits"], r["tokens"]) == (ends[-1] if ends else (0, 0)) and (not r["_prefixes"] or r["_prefixes"][-1]["tokens"] == r["_n_tokens"])
+    assert [p["end"] for p in counted.where("doc_id = 10").first()["_prefixes"]] == [1, 3, 17, 18]  # blanks are joined
+
+
+@needs_tokenizers
+def test_all_code_points_equal_the_libraries():
+    """Every code point after a sign, after a digit and alone, and marks in odd orders."""
+    import random
+
+    import tiktoken
+    from public_tokenizers import PATTERN
+    from tokenizers import Tokenizer
+
+    from tidewater.llm.byte_bpe import ByteBpe, read_ranks
+    from tidewater.llm.token_counts import PrefixCounter
+    from tidewater.llm.unicode import Splitter
+
+    with open(f"{TOKENIZERS}/byte_bpe_multi_50k.tiktoken", "rb") as f:
+        ranks = read_ranks(f.read())
+    encoder = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+    bpe, split = ByteBpe(ranks), Splitter(PATTERN)
+    with open(f"{TOKENIZERS}/word_bpe_49k.json", "rb") as f:
+        counter = PrefixCounter(f.read())
+    library = Tokenizer.from_file(f"{TOKENIZERS}/word_bpe_49k.json")
+    points = [c for c in range(0x110000) if not 0xD800 <= c < 0xE000 and not 0xE000 <= c < 0xF900 and not 0xF0000 <= c]
+    texts = ["\n".join(f"!{chr(c)}a 1{chr(c)} {chr(c)}" for c in points[k : k + 32]) for k in range(0, len(points), 32)]
+    rng = random.Random(6)
+    marks = [c for c in points if 0x300 <= c < 0x370 or unicodedata.combining(chr(c))]
+    texts += ["".join(chr(rng.choice(marks)) if rng.random() < 0.7 else rng.choice("aeоक가Σİ") for _ in range(9)) for _ in range(4000)]
+    pieces = [split.findall(t) for t in texts]
+    different = sorted({p for own in pieces for p in own})
+    ids = dict(zip(different, bpe.encode_pieces([p.encode() for p in different])))
+    for text, own in zip(texts, pieces):
+        assert [i for p in own for i in ids[p]] == encoder.encode_ordinary(text)
+    for text, made in zip(texts, library.encode_batch(texts, add_special_tokens=False)):
+        assert counter.prefixes(text).count() == len(made.ids), text
 
 
 # -- quality ----------------------------------------------------------------------------------
@@ -382,6 +466,9 @@ def kneser_ney_brute(trusted, scored, order=4):
     counts = {order: Counter(g for t in trusted for g in grams(t))}
     for n in range(order - 1, 0, -1):
         counts[n] = Counter(g[1:] for g in counts[n + 1])
+        for g in counts[n]:
+            if g[0] == "\x02":  # only a beginning stands before it
+                counts[n][g] = counts[n + 1]["\x02" + g]
     kinds = len({g[-1] for t in scored for g in grams(t)}) + 1
     cuts = {}
     for n, c in counts.items():
@@ -407,15 +494,19 @@ def kneser_ney_brute(trusted, scored, order=4):
 
 
 def test_quality_equals_the_formulas(spark, corpus):
-    from tidewater.llm.quality import classify_quality
+    from tidewater.llm.quality import PARTS, classify_quality
 
     rows = [(r[0], r[1], r[2], "en" if r[0] % 2 else None) for r in corpus] + [(8000, "### !!! $$$ " * 20, "s", "en"), (8001, "🙂🙂", "s", "xx"), (8002, None, "s", "en"), (8003, " ", "s", "en")]
     labels = spark.createDataFrame([(r[0], 1, 0) for r in corpus[:80]] + [(corpus[0][0], 1, 0), (8000, 0, 0), (None, 1, 0)], "doc_id bigint, quality int, toxic int")
     got = {r["_id"]: r for r in classify_quality(frame(spark, rows).withColumn("p", F.lit(1)), labels).collect()}
-    want = kneser_ney_brute([r[1] for r in corpus[:80]], [r[1] or "" for r in rows])
+    held = {r["doc_id"] for r in frame(spark, corpus[:80]).where(F.pmod(F.xxhash64(F.lit(31), "text"), F.lit(PARTS)) == 0).collect()}
+    want = kneser_ney_brute([r[1] for r in corpus[:80] if r[0] not in held], [r[1] or "" for r in rows])
+    assert 5 < len(held) < 40
     for r, w in zip(rows, want):
         if r[0] != 8001:  # its characters share numbers
             assert got[r[0]]["_perplexity"] == pytest.approx(w, rel=1e-5) if w is not None else got[r[0]]["_perplexity"] is None
+    unseen = sorted(w for r, w in zip(rows, want) if r[0] in held)
+    assert got[8001]["_low"] == pytest.approx(unseen[0] / 1.1) and got[8001]["_high"] == pytest.approx(unseen[-1] * 1.1)
     assert len(got) == len(rows) and not got[8000]["_kept"] and not got[8002]["_kept"] and sum(r["_kept"] for r in got.values()) > 0.9 * len(corpus)
 
 
@@ -427,6 +518,16 @@ def test_quality_without_labels_or_rows(spark, corpus):
     assert classify_quality(frame(spark, corpus[:1]).limit(0), none).count() == 0
 
 
+def test_quality_of_odd_and_very_long_texts(spark, odd_texts):
+    from tidewater.llm.quality import classify_quality
+
+    docs = spark.createDataFrame(odd(odd_texts), DOCS).withColumn("part", F.lit("clash")).withColumn("block", F.lit(1))
+    labels = spark.createDataFrame([(k, 1, 0) for k in range(9)], "doc_id bigint, quality int, toxic int")
+    got = classify_quality(docs, labels).collect()
+    assert len(got) == len(odd_texts) + 3 and all((r["_perplexity"] is None) == (r["_n"] == 0) for r in got)
+    assert {r["_n"] for r in got if r["_id"] == 4} == {200_000} and not any(r["_kept"] for r in got if r["_n"] == 0)
+
+
 # -- secrets ----------------------------------------------------------------------------------
 
 

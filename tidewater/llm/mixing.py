@@ -4,14 +4,20 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewater.llm.cluster import broadcast_if_small, cut, unit_interval
+from tidewater.llm.cluster import broadcast_if_small, cut
 
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+def _key(seed: int, id_: Column, text: Column) -> Column:
+    """A hash-random key of 60 bits: the first 15 hexadecimal digits of an MD5, as other engines have it too."""
+    parts = [F.coalesce(x.cast("string"), F.lit("")) for x in (id_, text)]
+    return F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), parts[0], F.lit(":"), parts[1]).cast("binary")), 1, 15), 16, 10).cast("long")
+
+
 def source_targets(stats: DataFrame, weights: Sequence[float], share: float, cap: float) -> DataFrame:
     """Adds ``rank`` and ``target`` to one row per source with ``source`` and ``source_size``.
 
@@ -71,7 +77,7 @@ def mix_sources(
         *[F.col(f"`{c}`") for c in keep],
         F.col(source_col).alias("_mix_source"),
         F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long").alias("_size"),
-        F.xxhash64(F.lit(seed), F.col(id_col), F.col(text_col)).alias("_mix_key"),
+        _key(seed, F.col(id_col), F.col(text_col)).alias("_mix_key"),
     )
     if text_col not in keep:
         keyed = cut(keyed)  # narrow rows, read three times below
@@ -87,7 +93,7 @@ def mix_sources(
     )
     placed = (
         keyed.join(broadcast_if_small(targets, 100_000), F.col("_mix_source").eqNullSafe(F.col("_mix_of")))
-        .withColumn("_mix_range", F.least(F.floor(unit_interval(F.col("_mix_key")) * F.col("_mix_ranges")), F.col("_mix_ranges") - 1))
+        .withColumn("_mix_range", F.least(F.floor(F.col("_mix_key") / F.lit(2.0**60) * F.col("_mix_ranges")), F.col("_mix_ranges") - 1))
         .drop("_mix_source", "_mix_of", "_mix_ranges")
     )
     totals = placed.groupBy("_source_rank", "_mix_range").agg(F.sum("_size").alias("words"))

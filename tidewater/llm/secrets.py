@@ -18,7 +18,7 @@ BASE = {
 PARTS = {
     "identifier": r"(?:AKIA|ASIA|AIDA|AROA)[A-Z0-9]{8,}|(?i:client_?id|account_?id|user_?name|login)[\"']?\x20*[:=]\x20*[\"']?[A-Za-z0-9_.@-]{4,}",
     "key": r"[A-Za-z0-9+/_=-]{32,}",
-    "endpoint": r"(?:https?|jdbc:[a-z]+|postgres(?:ql)?|mysql|mongodb(?:\+srv)?|redis|amqps?|s3)://[^\s\"'<>]{4,}",
+    "endpoint": r"(?:https?|jdbc:[a-z]+|postgres(?:ql)?|mysql|mongodb(?:\+srv)?|redis|amqps?|s3)://[^\x20\x09-\x0D\"'<>]{4,}",
 }
 KINDS = [*BASE, *PARTS]
 SECRETS, PARTNERS = ["assign", "key", "hex"], ["access", "identifier", "endpoint"]
