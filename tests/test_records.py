@@ -116,6 +116,77 @@ def test_crud(spark):
     assert m.delete_where(Human, lambda w: w.where("id", ">=", 11)) == 3 and m.delete_where(Human, lambda w: w.where("name", "=", None)) == 0
 
 
+@pytest.mark.parametrize("kind", ["registered", "folder", "catalog"])
+def test_changes_reach_every_kind_of_table(spark, tmp_path, kind):
+    name = f"pets_{kind}"
+    spark.sql(f"DROP TABLE IF EXISTS {name}")
+    pet = type("Pet", (Record,), {"id": Field(types.Bigint, key=AUTO_KEY), "name": Field(types.Varchar(30))}, table=name)
+    rows = spark.createDataFrame([(1, "Rex"), (2, "Tom"), (3, "Kit"), (4, "Ben")], "id bigint, name string")
+    e = Engine(spark, str(tmp_path) if kind == "folder" else None)
+    if kind == "registered":
+        e.register(name, rows)
+    elif kind == "folder":
+        rows.write.parquet(f"{tmp_path}/{name}.parquet")
+    else:
+        rows.write.saveAsTable(name)
+    m = Mapper(e)
+    rex = m.single(pet, 1)
+    rex.name = "Max"
+    assert m.update(rex) and m.single(pet, 1).name == "Max"
+    tom, kit = m.single(pet, 2), m.single(pet, 3)
+    tom.name, kit.name = "Tim", "Kat"
+    m.update_all([tom, kit])
+    assert m.delete(tom) == 1 and m.delete(tom) == 0 and m.single(pet, 2) is None
+    assert m.delete_where(pet, lambda w: w.where("name", "Kat")) == 1
+    assert m.create(pet(name="Zoe")).id == 5
+    m.create_all([pet(name="Uma"), pet(name="Ida")])
+    assert sorted((r["id"], r["name"]) for r in m.query(pet).all().collect()) == [(1, "Max"), (4, "Ben"), (5, "Zoe"), (6, "Ida"), (7, "Uma")]
+    assert m.delete_all([m.single(pet, 6), m.single(pet, 7)]) == 2
+    assert sorted(r["id"] for r in e.sql(f"SELECT id FROM {name}").collect()) == [1, 4, 5]
+    if kind == "folder":  # the file stays as it is
+        assert spark.read.parquet(f"{tmp_path}/{name}.parquet").count() == 4
+
+
+def test_a_frame_over_a_table_of_the_catalog_is_not_written(spark):
+    spark.sql("DROP TABLE IF EXISTS hidden")
+    spark.createDataFrame([(1,)], "a int").write.saveAsTable("hidden")
+    e = Engine(spark).register("hidden", spark.createDataFrame([(2,)], "a int"))
+    with pytest.raises(ValueError, match="hides"):
+        e.replace("hidden", e.frame("hidden"))
+    assert spark.table("hidden").first()["a"] == 1
+
+
+def test_a_failed_swap_leaves_the_table(spark, monkeypatch):
+    spark.sql("DROP TABLE IF EXISTS swapped")
+    spark.createDataFrame([(1,)], "a int").write.saveAsTable("swapped")
+    e, real = Engine(spark), type(spark).sql
+
+    def failing(self, text, *args, **more):
+        if "RENAME TO `swapped`" in text and "_old" not in text.split("RENAME")[0]:
+            raise RuntimeError("lost")
+        return real(self, text, *args, **more)
+
+    monkeypatch.setattr(type(spark), "sql", failing)
+    with pytest.raises(RuntimeError, match="lost"):
+        e.replace("swapped", spark.createDataFrame([(2,)], "a int"))
+    monkeypatch.undo()
+    assert spark.table("swapped").first()["a"] == 1
+
+
+def test_each_visits_what_a_relation_holds(people):
+    seen = []
+    assert people.each(Human, "organized", Human(id=1), seen.append) == 1 and seen[0].topic == "Planning"
+    assert people.each(Meeting, "attendees", Meeting(id=1), seen.append) == 3 and [h.name for h in seen[1:]] == ["Alice", "Bob", "Carol"]
+    assert people.each(Meeting, "organizer", Meeting(id=3, organizer_id=9), seen.append) == 0
+    assert people.each(Meeting, "organizer", Meeting(id=2, organizer_id=2), seen.append) == 1 and seen[-1].name == "Bob"
+
+
+def test_updates_of_several_rows_for_a_key(spark):
+    table = spark.createDataFrame([(1, "a", 1), (2, "b", 2)], "id bigint, name string, n int")
+    fresh = spark.createDataFrame([(1, "x", 9), (1, "y", 3), (7, "z", 1)], "id bigint, name string, n int")
+    assert sorted(map(tuple, changes.update_rows(table, fresh, ["id"]).collect())) == [(1, "y", 3), (2, "b", 2)]
+
+
 def test_changes_as_frames(engine):
     people = engine.frame("people")
     raised = changes.update(people, {"salary": 1}, lambda w: w.where("salary", ">", 55))
@@ -139,6 +210,14 @@ def test_new_keys_are_dense(spark):
     assert sorted(r["id"] for r in keyed.collect()) == list(range(8, 508))
 
 
+def test_new_keys_of_repeated_rows_and_many_parts(spark, monkeypatch):
+    monkeypatch.setattr(changes, "PART", 40)
+    table = spark.createDataFrame([], "id bigint, name string")
+    rows = spark.range(300).selectExpr("cast(if(id < 200, 0, id) as string) as name")
+    keyed = changes.with_new_keys(rows, "id", table)
+    assert sorted(r["id"] for r in keyed.collect()) == list(range(1, 301)) and keyed.where("name = '0'").count() == 200
+
+
 def test_batches(spark):
     e = Engine(spark)
     spark.sql("DROP TABLE IF EXISTS batch")

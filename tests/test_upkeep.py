@@ -12,7 +12,7 @@ from tidewater.functions import scalar, types
 from tidewater.plans import ddl
 from tidewater.plans.generate import record_source
 from tidewater.plans.migrate import Migration, Migrations, fold
-from tidewater.sources.backup import backup, compare, compare_backups, restore
+from tidewater.sources.backup import backup, compare, compare_backups, examples, restore
 from tidewater.sources.introspect import ForeignKey, Index, foreign_keys_from, foreign_keys_to, in_key_order, read_schema, read_table, table_filter
 from tidewater.streaming.futures import Background, logged
 
@@ -130,6 +130,121 @@ def test_folding():
     assert index.index.table == "u" and row.table == "u"
 
 
+def test_folding_follows_names_everywhere():
+    steps = (
+        ddl.CreateTable("a").primary_key("id", types.Bigint).column("x", types.Integer),
+        ddl.CreateTable("b").primary_key("id", types.Bigint).foreign_key("a_id", types.Bigint, "a", "id").composite_foreign_key(("a_id", "id"), "a", ("id", "x")),
+        ddl.CreateIndex(Index("ix", "a", ("x",))),
+        ddl.InsertRow("a", {"id": 1, "x": 2}),
+        ddl.RenameColumn("a", "x", "y"),
+        ddl.RenameColumn("a", "id", "key"),
+        ddl.RenameTable("a", "c"),
+        ddl.RenameTable("b", "d"),
+    )
+    tables = {c.table: c for c in fold([Migration(1, "m", steps)]) if isinstance(c, ddl.CreateTable)}
+    index, row = fold([Migration(1, "m", steps)])[-2:]
+    assert [c.name for c in tables["c"].columns] == ["key", "y"] and index.index == Index("ix", "c", ("y",)) and row == ddl.InsertRow("c", {"key": 1, "y": 2})
+    assert tables["d"].columns[1].references == ("c", "key") and tables["d"].foreign_keys == (ForeignKey("d", ("a_id", "id"), "c", ("key", "y")),)
+    dropped = fold([Migration(1, "m", (*steps, ddl.DropColumn("c", "y"), ddl.DropTable("d")))])
+    assert [type(c).__name__ for c in dropped] == ["CreateTable", "InsertRow"] and dropped[1].values == {"key": 1}
+    assert fold([Migration(1, "m", (*steps, ddl.DropTable("c")))])[0].columns[1].references is None
+
+
+def test_folding_keeps_changes_after_the_steps_that_read_rows(spark):
+    e = Engine(spark)
+    for t in ("folded", "renamed"):
+        spark.sql(f"DROP TABLE IF EXISTS {t}")
+    steps = (
+        ddl.CreateTable("folded").primary_key("id", types.Bigint).column("old", types.Integer),
+        ddl.InsertRow("folded", {"id": 1, "old": 2}),
+        ddl.AddColumn("folded", ddl.Column("new", types.Integer, default=0)),
+        ddl.UpdateRows("folded", {}, expressions={"new": "old + 40"}),
+        ddl.DropColumn("folded", "old"),
+        ddl.RenameTable("folded", "renamed"),
+        ddl.RawSql("SELECT 1"),
+    )
+    for change in fold([Migration(1, "m", steps)]):
+        change.apply(e)
+    assert e.frame("renamed").first().asDict() == {"id": 1, "new": 42}
+    assert fold([Migration(1, "m", (*steps, ddl.DropTable("renamed")))]) == [ddl.RawSql("SELECT 1")]
+
+
+def test_keys_outlive_the_engine(spark):
+    first = Engine(spark)
+    for t in ("owners", "dogs", "hounds"):
+        spark.sql(f"DROP TABLE IF EXISTS {t}")
+    ddl.CreateTable("owners").primary_key("id", types.Bigint).required("name", types.NVarchar(9), unique=True).apply(first)
+    ddl.CreateTable("dogs").primary_key("id", types.Bigint).foreign_key("owner_id", types.Bigint, "owners", "id").apply(first)
+    ddl.CreateIndex(Index("by_owner", "dogs", ("owner_id",))).apply(first)
+    second = Engine(spark)
+    assert read_table(second, "owners") == read_table(first, "owners") and read_table(second, "owners").columns[1].type == types.NVarchar(9)
+    assert foreign_keys_to(second, "owners") == [ForeignKey("dogs", ("owner_id",), "owners", ("id",))]
+    ddl.RenameColumn("owners", "id", "key").apply(second)
+    ddl.RenameTable("dogs", "hounds").apply(second)
+    third = Engine(spark)
+    assert foreign_keys_from(third, "hounds") == [ForeignKey("hounds", ("owner_id",), "owners", ("key",))]
+    info = read_table(third, "hounds")
+    assert info.indexes == (Index("by_owner", "hounds", ("owner_id",)),) and info.primary_key == ("id",) and not read_table(third, "owners").columns[0].nullable
+    ddl.DropColumn("owners", "key").apply(third)
+    assert foreign_keys_from(Engine(spark), "hounds") == []
+    assert [c.references for c in ddl.plan_of_table(info).columns] == [None, ("owners", "key")]
+
+
+def test_comparison_of_backups_that_differ_in_shape(engine, tmp_path):
+    a, b, none = (str(tmp_path / x) for x in ("a", "b", "none"))
+    backup(engine, a, ["people", "depts"])
+    backup(engine, none, [])
+    assert compare_backups(engine, none, none).count() == 0
+    other = Engine(engine.spark).register("people", engine.frame("people").drop("boss")).register("depts", engine.frame("depts").where("id < 3"))
+    backup(other, b, ["people", "depts"])
+    found = {r["name"]: (r["state"], r["only_left"], r["only_right"]) for r in compare_backups(engine, a, b).collect()}
+    assert found == {"people": ("different columns", 5, 5), "depts": ("different", 1, 0)}
+    rows = examples(engine.frame("depts"), other.frame("depts")).collect()
+    assert [(r["side"], r["id"], r["name"]) for r in rows] == [("left", 3, "Void")]
+
+
+def test_hooks_hear_of_the_engine_s_own_actions(spark):
+    spark.sql("DROP TABLE IF EXISTS heard")
+    heard = []
+    e = Engine(spark).hook(lambda event, name, seconds: heard.append((event, name)))
+    e.register("heard", spark.range(2)).append_rows("heard", [{"id": 5}])
+    assert heard == [("begin", "replace heard"), ("end", "replace heard"), ("begin", "append heard"), ("end", "append heard")]
+    with pytest.raises(ZeroDivisionError), e.told("x"):
+        1 / 0  # noqa: B018
+    assert heard[-1] == ("error", "x")
+
+
+def test_command_line_migrations(spark, monkeypatch, capsys):
+    import sys
+    import types as modules
+
+    from tidewater import __main__ as command
+
+    for t in ("schema_migrations", "streets"):
+        spark.sql(f"DROP TABLE IF EXISTS {t}")
+    made = modules.ModuleType("my_migrations")
+    made.MIGRATIONS = [
+        Migration(1, "streets", (ddl.CreateTable("streets").primary_key("id", types.Bigint),), (ddl.DropTable("streets"),)),
+        Migration(2, "names", (ddl.AddColumn("streets", ddl.Column("name", types.Text())),), (ddl.DropColumn("streets", "name"),), (1,)),
+    ]
+    made.RELEASES = {"first": 1}
+    monkeypatch.setitem(sys.modules, "my_migrations", made)
+
+    def said(*args):
+        command.main(["--migrations", "my_migrations", *args])
+        return capsys.readouterr().out
+
+    assert said("list-pending") == "1 streets\n2 names\n" and "CREATE TABLE" in said("preview", "--until", "first")
+    assert said("migrate", "--until", "first") == "applied 1 streets\n" and said("apply", "2") == "applied 2\n"
+    assert said("status").count("applied") == 2 and said("rollback", "2") == "reverted 2\n" and spark.table("streets").columns == ["id"]
+    said("mark", "2")
+    assert said("list-pending") == "" and said("verify") == ""
+    with pytest.raises(SystemExit):
+        command.main(["migrate"])
+    said("hard-reset")
+    assert not spark.catalog.tableExists("streets")
+
+
 def test_background(spark):
     with Background(spark, 2) as b:
         assert [r.result() for r in [b.submit(spark.range(n).count) for n in (3, 4)]] == [3, 4]

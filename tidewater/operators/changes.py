@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from tidewater.functions.types import CONVERTERS, literal
 from tidewater.operators.predicate import Where
 
+PART = 1_000_000  # rows that one task numbers, about
+
 
 def _condition(where: Callable[[Where], Where] | Where | Column | None) -> Column:
     if where is None:
@@ -52,8 +54,15 @@ def delete(table: DataFrame, where: Any = None) -> DataFrame:
 
 
 def update_rows(table: DataFrame, rows: DataFrame, keys: list[str]) -> DataFrame:
-    """All columns but the keys replaced from ``rows``, which may have several rows a key only by mistake."""
+    """All columns but the keys replaced from ``rows``.
+
+    Of several rows of one key the greatest counts, by all columns in order, so the table never
+    gets more rows and a rerun gives the same.  Rows of keys that the table lacks are left out.
+    """
+    others = [c for c in table.columns if c not in keys]
     fresh = rows.select(*table.columns)
+    if others:
+        fresh = fresh.groupBy(*keys).agg(F.max(F.struct(*others)).alias("_row")).select(*keys, "_row.*").select(*table.columns)
     return table.join(fresh.select(*keys), keys, "left_anti").unionByName(fresh.join(table.select(*keys).distinct(), keys, "left_semi")).select(*table.columns)
 
 
@@ -64,15 +73,24 @@ def delete_rows(table: DataFrame, rows: DataFrame, keys: list[str]) -> DataFrame
 def with_new_keys(rows: DataFrame, key: str, table: DataFrame, by: list[str] | None = None) -> DataFrame:
     """Rows with dense keys that follow the table's largest.
 
-    Numbers within ranges of the sort key are added to the ranges' offsets, so no task sorts all rows.
+    Equal rows count together first, so that any number of them is one class.  Classes fall into
+    parts by their hash, as many as keep about ``PART`` classes each; numbers inside a part are
+    added to what the parts before it hold, so no task sorts all rows.
     """
     by = by or [c for c in rows.columns if c != key]
     last = table.agg(F.coalesce(F.max(key), F.lit(0)).alias("_last"))
-    ranged = rows.withColumn("_part", F.pmod(F.xxhash64(*by), F.lit(64)))
-    inside = ranged.withColumn("_at", F.row_number().over(Window.partitionBy("_part").orderBy(*by)))
-    sizes = ranged.groupBy("_part").count()
+    others = [c for c in rows.columns if c != key]
+    classes = rows.groupBy(*others).agg(F.count(F.lit(1)).alias("_times"))
+    parts = max(1, -(-rows.count() // PART))
+    ranged = classes.withColumn("_part", F.pmod(F.xxhash64(*others), F.lit(parts)))
+    before = Window.partitionBy("_part").orderBy(*by, *[c for c in others if c not in by]).rowsBetween(Window.unboundedPreceding, -1)
+    inside = ranged.withColumn("_at", F.coalesce(F.sum("_times").over(before), F.lit(0)))
+    inside = inside.withColumn("_at", F.explode(F.sequence(F.col("_at") + 1, F.col("_at") + F.col("_times"))))
+    sizes = ranged.groupBy("_part").agg(F.sum("_times").alias("count"))
     offsets = sizes.select("_part", (F.coalesce(F.sum("count").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).alias("_before"))
-    numbered = inside.join(F.broadcast(offsets), "_part").crossJoin(F.broadcast(last))  # 64 rows; one row
+    if parts <= 100_000:
+        offsets = F.broadcast(offsets)  # a row for each part
+    numbered = inside.join(offsets, "_part").crossJoin(F.broadcast(last))  # one row
     return numbered.withColumn(key, (F.col("_last") + F.col("_before") + F.col("_at")).cast(table.schema[key].dataType)).select(*table.columns)
 
 

@@ -57,7 +57,8 @@ _COMPARE: dict[str, Callable[[Column, Column], Column]] = {
 }
 
 
-def _condition(name: str, op: str, value: Any) -> tuple[Callable[[], Column], Callable[[], str]]:
+def compared(name: str, op: str, value: Any) -> tuple[Callable[[], Column], Callable[[], str]]:
+    """A comparison of a column with a value, a column or a one-row query, as a column and as text."""
     op, left = " ".join(op.upper().split()), F.col(quoted(name)) if not isinstance(name, Column) else name
     if op in ("IS", "IS NOT"):
         if value is None:
@@ -112,9 +113,9 @@ class Where:
             return self._group(first)
         if third is _MISSING:
             if second is None:
-                return self._add(*_condition(first, "IS", None))
-            return self._add(*_condition(first, "=", second))
-        return self._add(*_condition(first, second, third))
+                return self._add(*compared(first, "IS", None))
+            return self._add(*compared(first, "=", second))
+        return self._add(*compared(first, second, third))
 
     def or_where(self, *condition: Any):
         return self.or_().where(*condition)
@@ -139,19 +140,19 @@ class Where:
         )
 
     def where_null(self, name: str):
-        return self._add(*_condition(name, "IS", None))
+        return self._add(*compared(name, "IS", None))
 
     def where_not_null(self, name: str):
-        return self._add(*_condition(name, "IS NOT", None))
+        return self._add(*compared(name, "IS NOT", None))
 
     def where_not_equal(self, name: str, value: Any):
-        return self._add(*(_condition(name, "IS NOT", None) if value is None else _condition(name, "!=", value)))
+        return self._add(*(compared(name, "IS NOT", None) if value is None else compared(name, "!=", value)))
 
     def where_true(self, name: str):
-        return self._add(*_condition(name, "=", True))
+        return self._add(*compared(name, "=", True))
 
     def where_false(self, name: str):
-        return self._add(*_condition(name, "=", False))
+        return self._add(*compared(name, "=", False))
 
     def where_raw(self, text: str):
         """A condition in SQL text, which joins the chain as text does: its own ORs are not bracketed."""

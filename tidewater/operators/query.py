@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tidewater.functions.aggregates import Aggregate
 from tidewater.functions.types import quoted
-from tidewater.operators.predicate import Where
+from tidewater.operators.predicate import Ref, Where, compared
 
 
 @dataclass(frozen=True)
@@ -24,24 +24,29 @@ class Expr:
 
 @dataclass(frozen=True)
 class On:
-    """The ON clause of a join: equalities joined by AND, OR; AND binds tighter."""
+    """The ON clause of a join: equalities and other comparisons joined by AND, OR; AND binds tighter."""
 
-    terms: tuple[tuple[str, str, str], ...] = ()
+    terms: tuple[tuple[str, Callable[[], Column], Callable[[], str]], ...] = ()
+
+    def _with(self, junctor: str, condition: tuple[Callable[[], Column], Callable[[], str]]) -> "On":
+        return replace(self, terms=(*self.terms, (junctor, *condition)))
 
     def on(self, left: str, right: str) -> "On":
-        return replace(self, terms=(*self.terms, ("AND", left, right)))
+        return self._with("AND", compared(left, "=", Ref(right)))
 
     def or_on(self, left: str, right: str) -> "On":
-        return replace(self, terms=(*self.terms, ("OR", left, right)))
+        return self._with("OR", compared(left, "=", Ref(right)))
+
+    def operator(self, left: str, op: str, right: Any, junctor: str = "AND") -> "On":
+        """Any comparison that a condition may name, with a column (``Ref``) or a value on the right."""
+        if junctor not in ("AND", "OR"):
+            raise ValueError("terms are joined by AND or OR")
+        return self._with(junctor, compared(left, op, right))
 
     def column(self) -> Column | None:
         chain = Where()
-        for junctor, left, right in self.terms:
-            chain = chain._add(
-                lambda left=left, right=right: F.col(quoted(left)) == F.col(quoted(right)),
-                lambda left=left, right=right: f"{quoted(left)} = {quoted(right)}",
-                junctor=junctor,
-            )
+        for junctor, column, text in self.terms:
+            chain = chain._add(column, text, junctor=junctor)
         return chain.column()
 
 

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 from typing import Any, ClassVar
 
@@ -11,10 +11,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidewater.functions.types import CONVERTERS, ColumnType, quoted
+from tidewater.functions.types import CONVERTERS, ColumnType, literal, quoted
 from tidewater.operators.changes import delete_rows, with_new_keys
 from tidewater.operators.query import Query
 from tidewater.sources.engine import Engine, row_stream
+from tidewater.sources.introspect import ForeignKey, keep_facts
 
 NOT_KEY, KEY, AUTO_KEY, GUID_KEY = "none", "manual", "auto", "guid"
 
@@ -187,11 +188,14 @@ class Mapper:
     def create_table(self, record: type[Record]) -> None:
         columns = ", ".join(f"{quoted(f.column)} {f.type.ddl()}" for f in record.members.values())
         self.engine.spark.sql(f"CREATE TABLE IF NOT EXISTS {quoted(record.table_name)} ({columns}) USING parquet")
+        links = [r for r in record.relations.values() if isinstance(r, BelongsTo) and r.to in _RECORDS]
         self.engine.constraints[record.table_name] = {
             "primary_key": tuple(f.column for f in record.keys()),
             "required": tuple(f.column for f in record.members.values() if not f.nullable or f.key != NOT_KEY),
             "types": {f.column: f.type for f in record.members.values()},
+            "foreign_keys": tuple(ForeignKey(record.table_name, r.columns, record_named(r.to).table_name, tuple(f.column for f in record_named(r.to).keys())) for r in links),
         }
+        keep_facts(self.engine, record.table_name)
 
     def _assign(self, record: Record) -> None:
         for name, f in record.members.items():
@@ -235,7 +239,11 @@ class Mapper:
         return next((f.column for f in kind.members.values() if f.key == AUTO_KEY), None)
 
     def update(self, record: Record) -> bool:
-        """Write the changed members; nothing happens if none has changed."""
+        """Write the changed members; nothing happens if none has changed.
+
+        Parquet tables have no row changes: this and ``delete`` rewrite the table, whatever the
+        number of records.  For more than a few use ``update_all``, ``delete_all`` or ``delete_where``.
+        """
         names = [n for n in record._dirty if record.members[n].key == NOT_KEY]
         if not names:
             return False
@@ -258,21 +266,50 @@ class Mapper:
 
     def delete(self, record: Record) -> int:
         """Remove a record by its key; the number of rows that went."""
-        table = self.engine.frame(record.table_name)
-        key = [f.column for f in record.keys()]
-        rows = self.engine.spark.createDataFrame([[record.as_row()[c] for c in key]], T.StructType([table.schema[c] for c in key]))
-        before = table.count()
-        self.engine.replace(record.table_name, delete_rows(table, rows, key))
-        return before - self.engine.frame(record.table_name).count()
+        return self.delete_all([record])
+
+    def delete_all(self, records: Iterable[Record]) -> int:
+        """Remove many records of one kind by their keys, in one pass; the number of rows that went."""
+        records = list(records)
+        if not records:
+            return 0
+        table = self.engine.frame(records[0].table_name)
+        key = [f.column for f in records[0].keys()]
+        rows = self.engine.spark.createDataFrame([[r.as_row()[c] for c in key] for r in records], T.StructType([table.schema[c] for c in key]))
+        return self._left(records[0].table_name, table, delete_rows(table, rows, key))
 
     def delete_where(self, record: type[Record], where: Any) -> int:
         """Remove the records of which a condition is true; the number that went."""
         from tidewater.operators.changes import delete
 
         table = self.engine.frame(record.table_name)
-        before = table.count()
-        self.engine.replace(record.table_name, delete(table, where))
-        return before - self.engine.frame(record.table_name).count()
+        return self._left(record.table_name, table, delete(table, where))
+
+    def _left(self, name: str, table: DataFrame, left: DataFrame) -> int:
+        """Replace a table by what is left of it, unless that is all; the number of rows that went."""
+        gone = table.count() - left.count()
+        if gone:
+            self.engine.replace(name, left)
+        return gone
+
+    def each(self, kind: type[Record], relation: str, owner: Record, visit: Callable[[Record], Any]) -> int:
+        """Visit what a relation holds for one record, in the order of its key, a partition at a time; how many there were."""
+        link = kind.relations[relation]
+        to = record_named(link.to if isinstance(link, BelongsTo) else link.of)
+        if isinstance(link, BelongsTo):
+            frame = self.query(to)
+            for f, column in zip(to.keys(), link.columns):
+                frame = frame.where(f.column, "=", next(owner._values.get(n) for n, m in kind.members.items() if m.column == column))
+            frame = frame.all()
+        else:
+            key = kind.keys()[0]
+            owners = self.engine.frame(kind.table_name).where(F.col(quoted(key.column)) == literal(owner._values.get(key.name)))
+            frame = (self.children if isinstance(link, HasMany) else self.through)(kind, relation, owners)
+            frame = frame.orderBy(*[quoted(f.column) for f in to.keys()])
+        n = 0
+        for n, record in enumerate(self.records(to, frame), 1):
+            visit(record)
+        return n
 
     @staticmethod
     def _by_key(where: Any, record: Record) -> Any:
@@ -304,21 +341,24 @@ class Mapper:
         condition = self._match("o", link.columns, "p", [f"_k{i}" for i in range(len(link.columns))])
         return owner.join(parent, condition, "left").select(F.struct("o.*").alias("owner"), "parent")
 
-    def children(self, kind: type[Record], relation: str, owners: DataFrame | None = None) -> DataFrame:
-        """``owner_key`` and the child's columns for all owners at once, by owner and child key."""
+    def _children(self, kind: type[Record], relation: str, owners: DataFrame | None) -> DataFrame:
         link = kind.relations[relation]
         child = record_named(link.of)
         key, fk = kind.keys()[0].column, child.belongs(kind, link.fk).columns[0]
         owner = (self._frame(kind, "o") if owners is None else owners.alias("o")).select(F.col(quoted(key)).alias("owner_key"))
-        found = owner.join(self._frame(child, "c"), F.col("owner_key") == F.col(quoted(f"c.{fk}"))).select("owner_key", "c.*")
-        return found.orderBy("owner_key", *[quoted(f.column) for f in child.keys()])
+        return owner.join(self._frame(child, "c"), F.col("owner_key") == F.col(quoted(f"c.{fk}"))).select("owner_key", "c.*")
+
+    def children(self, kind: type[Record], relation: str, owners: DataFrame | None = None) -> DataFrame:
+        """``owner_key`` and the child's columns for all owners at once, by owner and child key."""
+        keys = record_named(kind.relations[relation].of).keys()
+        return self._children(kind, relation, owners).orderBy("owner_key", *[quoted(f.column) for f in keys])
 
     def children_lists(self, kind: type[Record], relation: str, owners: DataFrame | None = None) -> DataFrame:
         """``owner_key`` and its children as one sorted array: for owners with few children."""
         child = record_named(kind.relations[relation].of)
         order = [f.column for f in child.keys()]
         members = F.struct(*map(quoted, order), *[quoted(c) for c in child.column_names() if c not in order])
-        return self.children(kind, relation, owners).groupBy("owner_key").agg(F.array_sort(F.collect_list(members)).alias("children"))
+        return self._children(kind, relation, owners).groupBy("owner_key").agg(F.array_sort(F.collect_list(members)).alias("children"))
 
     def children_counts(self, kind: type[Record], relation: str, owners: DataFrame | None = None) -> DataFrame:
         """``owner_key`` and ``count`` for every owner, 0 without children; children are counted before the join."""

@@ -12,7 +12,7 @@ from tidewater.functions.types import ColumnType, Timestamp, quoted, sql_text
 from tidewater.operators import changes
 from tidewater.operators.predicate import Where
 from tidewater.sources.engine import Engine
-from tidewater.sources.introspect import ForeignKey, Index, TableInfo
+from tidewater.sources.introspect import ForeignKey, Index, TableInfo, all_facts, facts, keep_facts
 
 
 @dataclass(frozen=True)
@@ -46,7 +46,28 @@ class Change:
 
 
 def _known(engine: Engine, table: str) -> dict[str, Any]:
-    return engine.constraints.setdefault(table, {})
+    return facts(engine, table)
+
+
+def renamed_key(key: ForeignKey, table: str, new: Callable[[str], str]) -> ForeignKey:
+    """A key after columns of a table have new names, whichever side the table is on."""
+    key = replace(key, columns=tuple(map(new, key.columns))) if key.table == table else key
+    return replace(key, to_columns=tuple(map(new, key.to_columns))) if key.to_table == table else key
+
+
+def moved_key(key: ForeignKey, table: str, to: str) -> ForeignKey:
+    """A key after a table has a new name, whichever side the table is on."""
+    return replace(key, table=to if key.table == table else key.table, to_table=to if key.to_table == table else key.to_table)
+
+
+def _change_keys(engine: Engine, change: Callable[[ForeignKey], ForeignKey | None]) -> None:
+    """Change, or drop, the keys of every table that the engine knows."""
+    for name, known in all_facts(engine).items():
+        old = tuple(known.get("foreign_keys", ()))
+        new = tuple(k for k in map(change, old) if k is not None)
+        if new != old:
+            known["foreign_keys"] = new
+            keep_facts(engine, name)
 
 
 def _note(engine: Engine, table: str, what: str, *items: Any) -> None:
@@ -98,6 +119,7 @@ class CreateTable(Change):
         for c in self.columns:
             _note_column(engine, self.table, c)
         _note(engine, self.table, "foreign_keys", *self.foreign_keys)
+        keep_facts(engine, self.table)
 
 
 def _note_column(engine: Engine, table: str, c: Column) -> None:
@@ -123,8 +145,7 @@ class DropTable(Change):
 
     def apply(self, engine: Engine) -> None:
         if self.cascade:  # keys that refer to the table go, their tables stay
-            for known in engine.constraints.values():
-                known["foreign_keys"] = tuple(k for k in known.get("foreign_keys", ()) if k.to_table != self.table)
+            _change_keys(engine, lambda k: None if k.to_table == self.table else k)
         engine.spark.sql(f"DROP TABLE {'IF EXISTS ' * self.if_exists}{quoted(self.table)}")
         engine.constraints.pop(self.table, None)
 
@@ -138,12 +159,15 @@ class RenameTable(Change):
         return f"ALTER TABLE {quoted(self.table)} RENAME TO {quoted(self.to)}"
 
     def apply(self, engine: Engine) -> None:
+        engine.own(self.table)
+        known = _known(engine, self.table)
         engine.spark.sql(self.text())
-        known = engine.constraints.pop(self.table, {})
-        known["foreign_keys"] = tuple(replace(k, table=self.to) for k in known.get("foreign_keys", ()))
+        engine.constraints.pop(self.table, None)
+        known["indexes"] = tuple(replace(i, table=self.to) for i in known.get("indexes", ()))
         engine.constraints[self.to] = known
-        for other in engine.constraints.values():
-            other["foreign_keys"] = tuple(replace(k, to_table=self.to) if k.to_table == self.table else k for k in other.get("foreign_keys", ()))
+        engine.moved(self.table, self.to)
+        _change_keys(engine, lambda k: moved_key(k, self.table, self.to))
+        keep_facts(engine, self.to)
 
 
 @dataclass(frozen=True)
@@ -162,14 +186,18 @@ class AddColumn(Change):
                 return
             raise ValueError(f"{self.table} has a column {self.column.name}")
         if self.column.default is None:
+            engine.own(self.table)
             engine.spark.sql(f"ALTER TABLE {quoted(self.table)} ADD COLUMNS ({quoted(self.column.name)} {self.column.type.ddl()})")
         else:
             engine.replace(self.table, frame.withColumn(self.column.name, F.lit(self.column.default).cast(self.column.type.spark())))
         _note_column(engine, self.table, self.column)
+        keep_facts(engine, self.table)
 
 
 @dataclass(frozen=True)
 class AlterColumn(Change):
+    """A new type; the table is rewritten, as by a rename or drop of a column."""
+
     table: str
     column: str
     type: ColumnType
@@ -184,6 +212,7 @@ class AlterColumn(Change):
         known = _known(engine, self.table)
         known.setdefault("types", {})[self.column] = self.type
         known["required"] = tuple(c for c in known.get("required", ()) if c != self.column) + (self.column,) * self.required
+        keep_facts(engine, self.table)
 
 
 @dataclass(frozen=True)
@@ -201,8 +230,9 @@ class RenameColumn(Change):
         for what in ("primary_key", "required"):
             known[what] = tuple(map(new, known.get(what, ())))
         known["types"] = {new(c): t for c, t in known.get("types", {}).items()}
-        for what in ("foreign_keys", "indexes"):
-            known[what] = tuple(replace(k, columns=tuple(map(new, k.columns))) for k in known.get(what, ()))
+        known["indexes"] = tuple(replace(i, columns=tuple(map(new, i.columns))) for i in known.get("indexes", ()))
+        _change_keys(engine, lambda k: renamed_key(k, self.table, new))
+        keep_facts(engine, self.table)
 
 
 @dataclass(frozen=True)
@@ -227,6 +257,8 @@ class DropColumn(Change):
         for what in ("foreign_keys", "indexes"):
             known[what] = tuple(k for k in known.get(what, ()) if self.column not in k.columns)
         known.get("types", {}).pop(self.column, None)
+        _change_keys(engine, lambda k: None if k.to_table == self.table and self.column in k.to_columns else k)
+        keep_facts(engine, self.table)
 
 
 @dataclass(frozen=True)
@@ -239,6 +271,7 @@ class AddForeignKey(Change):
 
     def apply(self, engine: Engine) -> None:
         _note(engine, self.key.table, "foreign_keys", self.key)
+        keep_facts(engine, self.key.table)
 
 
 @dataclass(frozen=True)
@@ -252,6 +285,7 @@ class DropForeignKey(Change):
     def apply(self, engine: Engine) -> None:
         known = _known(engine, self.table)
         known["foreign_keys"] = tuple(k for k in known.get("foreign_keys", ()) if k.columns != self.columns)
+        keep_facts(engine, self.table)
 
 
 @dataclass(frozen=True)
@@ -265,6 +299,7 @@ class CreateIndex(Change):
 
     def apply(self, engine: Engine) -> None:
         _note(engine, self.index.table, "indexes", self.index)
+        keep_facts(engine, self.index.table)
 
 
 @dataclass(frozen=True)
@@ -278,6 +313,7 @@ class DropIndex(Change):
     def apply(self, engine: Engine) -> None:
         known = _known(engine, self.table)
         known["indexes"] = tuple(i for i in known.get("indexes", ()) if i.name != self.name)
+        keep_facts(engine, self.table)
 
 
 @dataclass(frozen=True)

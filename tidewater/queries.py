@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,8 +15,10 @@ from tidewater.operators.predicate import Ref
 from tidewater.operators.query import Expr
 from tidewater.operators.raw import shaped
 from tidewater.operators.records import AUTO_KEY, KEY, BelongsTo, Field, HasMany, Mapper, Record, Through
-from tidewater.sources.backup import compare
-from tidewater.sources.engine import Engine
+from tidewater.plans import ddl
+from tidewater.plans.migrate import Migration, fold
+from tidewater.sources.backup import backup, compare, restore
+from tidewater.sources.engine import Engine, row_blocks
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -349,9 +352,25 @@ def q_j13_semi(e):
     return e.table("customer").field("c_custkey").where_in("c_custkey", e.table("orders").field("o_custkey").where("o_orderstatus", "P")).all()
 
 
-@query(f"SELECT n_nationkey FROM nation WHERE n_nationkey NOT IN (SELECT nation FROM {CLIENT} WHERE c_custkey < 100)")
+@query(f"""SELECT 'with null' AS kind, p_partkey FROM part WHERE p_partkey NOT IN (SELECT nation FROM {CLIENT})
+           UNION ALL SELECT 'without', p_partkey FROM part WHERE p_partkey NOT IN (SELECT nation FROM {CLIENT} WHERE nation IS NOT NULL)""")
 def q_j14_not_in_with_null(e):
-    return _with_nulls(e).table("nation").field("n_nationkey").not_().where_in("n_nationkey", e.table("client").field("nation").where("c_custkey", "<", 100)).all()
+    """A null on the right leaves no row; without it the others stay."""
+    nations = _with_nulls(e).table("client").field("nation")
+    tagged = lambda kind, inner: e.table("part").field(F.lit(kind).alias("kind")).field("p_partkey").not_().where_in("p_partkey", inner).all()
+    return tagged("with null", nations).unionByName(tagged("without", nations.where_not_null("nation")))
+
+
+@query("SELECT s_suppkey, c_custkey FROM supplier JOIN customer ON c_nationkey = s_nationkey AND c_acctbal < s_acctbal OR c_acctbal > 9990")
+def q_j8_operator(e):
+    on = lambda j: j.on("c.c_nationkey", "s.s_nationkey").operator("c.c_acctbal", "<", Ref("s.s_acctbal")).operator("c.c_acctbal", ">", 9990, "OR")
+    return e.table("supplier", "s").inner_join(("customer", "c"), on).fields("s.s_suppkey", "c.c_custkey").all()
+
+
+@query("SELECT s.s_suppkey AS s_suppkey, c.c_custkey AS c_custkey FROM supplier s LEFT JOIN customer c ON c.c_nationkey = s.s_nationkey AND c.c_acctbal > s.s_acctbal")
+def q_j11_aliased_callable(e):
+    on = lambda j: j.on("c.c_nationkey", "s.s_nationkey").operator("c.c_acctbal", ">", Ref("s.s_acctbal"))
+    return e.table("supplier", "s").left_join(("customer", "c"), on).fields("s.s_suppkey", "c.c_custkey").all()
 
 
 @query("SELECT o_orderkey FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem)")
@@ -418,9 +437,70 @@ def q_r7_composite_key(e):
     return Mapper(e).parents(Holder, "account").select("owner.c_custkey", "parent.s_suppkey")
 
 
+@query("SELECT l_orderkey AS owner_key, p_partkey FROM lineitem JOIN part ON p_partkey = l_partkey JOIN orders ON o_orderkey = l_orderkey WHERE o_orderstatus = 'P'")
+def q_r8_load_relations(e):
+    loaded = Mapper(e).load_relations(Order, e.frame("orders").where("o_orderstatus = 'P'"))
+    return loaded["parts"].select("owner_key", "p_partkey")
+
+
+ROUTES = "(SELECT c_custkey AS id, c_nationkey AS origin, cast(c_custkey % 25 AS INTEGER) AS target FROM customer)"
+
+
+class Place(Record, table="nation"):
+    n_nationkey = Field(types.Integer, key=KEY)
+    n_name = Field(types.Varchar(25))
+    leaving = HasMany("Route", "origin")
+    coming = HasMany("Route", "target")
+    reachable = Through("Place", "Route", own_fk="origin", other_fk="target")
+    reached_from = Through("Place", "Route", own_fk="target", other_fk="origin")
+
+
+class Route(Record, table="route"):
+    id = Field(types.Bigint, key=AUTO_KEY)
+    origin = Field(types.Integer)
+    target = Field(types.Integer)
+    begin = BelongsTo("Place", ("origin",))
+    end = BelongsTo("Place", ("target",))
+
+
+def _routes(e: Engine) -> Mapper:
+    key = F.col("c_custkey")
+    return Mapper(e.register("route", e.frame("customer").select(key.alias("id"), F.col("c_nationkey").alias("origin"), (key % 25).cast("int").alias("target"))))
+
+
+@query(f"SELECT n_nationkey AS owner_key, (SELECT count(*) FROM {ROUTES} r WHERE r.origin = n_nationkey) AS leaving, (SELECT count(*) FROM {ROUTES} r WHERE r.target = n_nationkey) AS coming FROM nation")
+def q_r10_two_keys_to_one_table(e):
+    m = _routes(e)
+    counts = [m.children_counts(Place, name).withColumnRenamed("count", name) for name in ("leaving", "coming")]
+    return counts[0].join(counts[1], "owner_key")
+
+
+@query(f"""SELECT 'reachable' AS way, r.origin AS owner_key, n.n_name AS n_name FROM {ROUTES} r JOIN nation n ON n.n_nationkey = r.target
+           UNION ALL SELECT 'reached from', r.target, n.n_name FROM {ROUTES} r JOIN nation n ON n.n_nationkey = r.origin""")
+def q_r11_self_many_to_many(e):
+    m = _routes(e)
+    ways = [m.through(Place, name.replace(" ", "_")).select(F.lit(name).alias("way"), "owner_key", "n_name") for name in ("reachable", "reached from")]
+    return ways[0].unionByName(ways[1])
+
+
 # -- aggregates, order, limits ----------------------------------------------------------------
 
 
+@query("SELECT count(*) AS n FROM customer WHERE c_acctbal < 0")
+def q_a9_mapper_count(e):
+    return e.spark.createDataFrame([(Mapper(e).query(Customer).where("c_acctbal", "<", 0).count_rows(),)], "n long")
+
+
+@query("SELECT c_custkey, c_name FROM customer ORDER BY c_custkey LIMIT 20 OFFSET 10")
+def q_o5_mapper_range(e):
+    return Mapper(e).query(Customer, "c_custkey", "c_name").order_by("c_custkey").range(10, 20)
+
+
+@query("SELECT * FROM supplier")
+def q_o2_all(e):
+    return e.table("supplier").field("*").all()
+
+
 @query(f"SELECT count(*) AS n, count(segment) AS known FROM {CLIENT}")
 def q_a1_count(e):
     return _with_nulls(e).table("client").field(count()).as_("n").field(count("segment")).as_("known").all()
@@ -494,6 +574,29 @@ def q_flagship(e):
     return q.group_by("c.c_custkey", "c.c_name").order_by("revenue", "desc").order_by("c.c_custkey").first(10)
 
 
+# -- literals, negation, shorthands -----------------------------------------------------------
+
+
+@query("SELECT p_partkey FROM part WHERE p_brand = 'Brand#11' OR p_type = 'it''s' OR NOT (p_size > 3)")
+def q_f3_f13_f14_f19_chain(e):
+    return e.table("part").field("p_partkey").where("p_brand", "=", "Brand#11").or_where("p_type", "it's").or_().not_().where("p_size", ">", 3).all()
+
+
+@query("SELECT n.n_nationkey AS n_nationkey, n.n_name AS n_name, r.r_name AS r_name FROM nation n JOIN region r ON r.r_regionkey = n.n_regionkey")
+def q_p6_p8_lists(e):
+    return e.table("nation", "n").inner_join(("region", "r"), "r_regionkey", "n.n_regionkey").fields("n.n_nationkey", "n.n_name").fields(["r.r_name"]).all()
+
+
+@query("SELECT c_custkey, c_mktsegment FROM customer")
+def q_p15_members_only(e):
+    return Mapper(e).query(Customer, "c_custkey", "c_mktsegment").all()
+
+
+@query("SELECT n_nationkey, true AS yes, n_regionkey = 1 AS here FROM nation")
+def q_x7_truth_values(e):
+    return e.frame("nation").select("n_nationkey", types.literal(True).alias("yes"), (F.col("n_regionkey") == 1).alias("here"))
+
+
 # -- scalar functions -------------------------------------------------------------------------
 
 
@@ -583,12 +686,120 @@ def q_d13_differences(e):
 # -- comparison and raw SQL -------------------------------------------------------------------
 
 
-@query("""WITH a AS (SELECT l_returnflag AS f, l_quantity AS q FROM lineitem), b AS (SELECT f, q FROM a WHERE f <> 'R'),
-          d AS (SELECT f, q, count(*) AS n FROM a GROUP BY 1, 2), s AS (SELECT f, q, count(*) AS n FROM b GROUP BY 1, 2)
-          SELECT coalesce(d.n, 0) AS left_rows, coalesce(s.n, 0) AS right_rows FROM d FULL JOIN s USING (f, q) WHERE coalesce(d.n, 0) <> coalesce(s.n, 0)""")
+@query("""WITH a AS (SELECT *, count(*) AS n FROM lineitem GROUP BY ALL),
+          b AS (SELECT *, count(*) AS n FROM (SELECT * REPLACE (CASE WHEN l_returnflag = 'A' THEN l_tax + 1 ELSE l_tax END AS l_tax) FROM lineitem WHERE l_returnflag <> 'R') GROUP BY ALL)
+          SELECT n AS left_rows, 0 AS right_rows FROM a WHERE l_returnflag IN ('A', 'R') UNION ALL SELECT 0, n FROM b WHERE l_returnflag = 'A'""")
 def q_g17_diff(e):
-    a = e.frame("lineitem").select(F.col("l_returnflag").alias("f"), F.col("l_quantity").alias("q"))
-    return compare(a, a.where("f <> 'R'")).select("left_rows", "right_rows")
+    """All columns: rows with R are missing on the right, rows with A have another tax there."""
+    a = e.frame("lineitem")
+    b = a.where("l_returnflag <> 'R'").withColumn("l_tax", F.when(F.col("l_returnflag") == "A", F.col("l_tax") + 1).otherwise(F.col("l_tax")))
+    return compare(a, b).select("left_rows", "right_rows")
+
+
+# -- what writes tables -----------------------------------------------------------------------
+
+
+def _own_copy(e: Engine, record: type[Record]) -> type[Record]:
+    """The record over a table under a name of its own, which the catalog gets with the first change and keeps."""
+    name = f"{record.table_name}_{uuid.uuid4().hex[:12]}"
+    e.register(name, e.frame(record.table_name).select(*record.column_names()))
+    return type(f"{record.__name__}_{name}", (record,), {}, table=name)
+
+
+def _least(e: Engine, record: type[Record]) -> Record:
+    key = record.keys()[0].column
+    return Mapper(e).single(record, e.frame(record.table_name).agg(F.min(key)).first()[0])
+
+
+CUSTOMER = "SELECT c_custkey, c_name, c_nationkey, c_acctbal, c_mktsegment FROM customer"
+NEXT = "(SELECT max(c_custkey) + 1 FROM customer)"
+FIRST = "(SELECT min(c_custkey) FROM customer)"
+
+
+@query(f"SELECT {NEXT} AS last_key")
+def q_d2_last_key(e):
+    own = _own_copy(e, Customer)
+    return e.spark.createDataFrame([(Mapper(e).create(own(c_name="new")).c_custkey,)], "last_key long")
+
+
+@query(f"{CUSTOMER} WHERE NOT (c_acctbal < 0)")
+def q_d5_mapper_delete_where(e):
+    own = _own_copy(e, Customer)
+    Mapper(e).delete_where(own, lambda w: w.where("c_acctbal", "<", 0))
+    return Mapper(e).query(own).all()
+
+
+@query(f"{CUSTOMER} UNION ALL SELECT {NEXT}, 'new', 7, 1.5, NULL")
+def q_d6_create(e):
+    own = _own_copy(e, Customer)
+    Mapper(e).create(own(c_name="new", c_nationkey=7, c_acctbal=1.5))
+    return Mapper(e).query(own).all()
+
+
+@query(f"{CUSTOMER} UNION ALL SELECT {NEXT}, c_name, c_nationkey, c_acctbal, c_mktsegment FROM customer WHERE c_custkey = {FIRST}")
+def q_d7_create_copy(e):
+    own = _own_copy(e, Customer)
+    Mapper(e).create_copy(_least(e, own))
+    return Mapper(e).query(own).all()
+
+
+@query(f"SELECT c_custkey, CASE WHEN c_custkey = {FIRST} THEN 'renamed' ELSE c_name END AS c_name, c_nationkey, c_acctbal, c_mktsegment FROM customer")
+def q_d9_mapper_update(e):
+    record = _least(e, _own_copy(e, Customer))
+    record.c_name = "renamed"
+    Mapper(e).update(record)
+    return Mapper(e).query(type(record)).all()
+
+
+@query(f"SELECT c_custkey, c_name FROM customer WHERE c_custkey <> {FIRST}")
+def q_d11_mapper_delete(e):
+    record = _least(e, _own_copy(e, Customer))
+    Mapper(e).delete(record)
+    return Mapper(e).query(type(record), "c_custkey", "c_name").all()
+
+
+@query("SELECT r_regionkey + 100 AS r_regionkey, CASE WHEN r_name = 'ASIA' THEN 'EAST' ELSE r_name END AS r_name FROM region WHERE r_name <> 'EUROPE' UNION ALL SELECT 199, 'ATLANTIS'")
+def q_g8_data_steps(e):
+    name = f"region_{uuid.uuid4().hex[:12]}"
+    ddl.CreateTable(name).primary_key("r_regionkey", types.Integer).required("r_name", types.Varchar(25)).apply(e)
+    e.append(name, e.frame("region"))
+    steps = [
+        ddl.InsertRow(name, {"r_regionkey": 99, "r_name": "ATLANTIS"}),
+        ddl.UpdateRows(name, {}, expressions={"r_regionkey": "r_regionkey + 100"}),
+        ddl.UpdateRows(name, {"r_name": "EAST"}, ddl.Where().where("r_name", "ASIA")),
+        ddl.DeleteRows(name, ddl.Where().where("r_name", "EUROPE")),
+    ]
+    for step in steps:
+        step.apply(e)
+    return e.frame(name)
+
+
+@query("SELECT 1 AS id, 'one' AS title, 5 AS size UNION ALL SELECT 2, 'two', 6")
+def q_g15_fold(e):
+    """The net schema of migrations that rename, add and drop columns between their rows."""
+    name = f"folded_{uuid.uuid4().hex[:12]}"
+    first = (ddl.CreateTable(name).primary_key("id", types.Integer).column("name", types.Text()).column("gone", types.Integer), ddl.InsertRow(name, {"id": 1, "name": "one", "gone": 3}))
+    then = (ddl.RenameColumn(name, "name", "title"), ddl.DropColumn(name, "gone"), ddl.AddColumn(name, ddl.Column("size", types.Integer, default=5)), ddl.InsertRow(name, {"id": 2, "title": "two", "size": 5}))
+    last = (ddl.UpdateRows(name, {}, ddl.Where().where("id", 2), {"size": "size + 1"}),)
+    for step in fold([Migration(k, str(k), up) for k, up in enumerate((first, then, last))]):
+        step.apply(e)
+    return e.frame(name)
+
+
+@query("SELECT * FROM nation")
+def q_s16_s17_backup_restore(e):
+    """A backup in the warehouse, restored into an engine of its own, which verifies rows and digests."""
+    folder = f"{e.spark.conf.get('spark.sql.warehouse.dir')}/backup-{uuid.uuid4().hex[:12]}"
+    backup(e, folder, ["nation", "region"])
+    fresh = Engine(e.spark)
+    restore(fresh, folder, "nation")
+    return fresh.frame("nation")
+
+
+@query("SELECT count(*) AS rows, cast(ceil(count(*) / 10) AS BIGINT) AS blocks FROM nation")
+def q_s9_blocks(e):
+    sizes = [len(b) for b in row_blocks(e.frame("nation"), 10)]
+    return e.spark.createDataFrame([(sum(sizes), len(sizes))], "rows long, blocks long")
 
 
 @query("SELECT o_custkey, count(*) AS n FROM orders GROUP BY o_custkey HAVING count(*) > 15")

@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 from tidewater.functions.scalar import digest
 from tidewater.sources.engine import Engine
-from tidewater.sources.introspect import ForeignKey, in_key_order, read_table, table_filter
+from tidewater.sources.introspect import ForeignKey, in_key_order, keep_facts, read_table, table_filter
 
 
 def checksum(frame: DataFrame) -> dict[str, str | int]:
@@ -37,6 +37,7 @@ def backup(engine: Engine, folder: str, tables: Iterable[str] | None = None, glo
         manifest["tables"][name] = {
             "schema": frame.schema.jsonValue(),
             "primary_key": list(info.primary_key),
+            "required": [c.name for c in info.columns if not c.nullable],
             "foreign_keys": [[list(k.columns), k.to_table, list(k.to_columns)] for k in info.foreign_keys],
         } | checksum(engine.spark.read.schema(frame.schema).parquet(f"{folder}/{name}"))
     text = engine.spark.createDataFrame([(json.dumps(manifest),)], "value string")
@@ -61,13 +62,14 @@ def restore(engine: Engine, folder: str, globs: str = "", as_tables: bool = Fals
         if (found := checksum(frame)) != {k: kept[k] for k in ("rows", "digest")}:
             raise ValueError(f"{name}: the backup holds {found}, its manifest says {kept['rows']} rows, {kept['digest']}")
         keys = [ForeignKey(name, tuple(c), to, tuple(t)) for c, to, t in kept["foreign_keys"]]
-        engine.constraints[name] = engine.constraints.get(name, {}) | {"primary_key": tuple(kept["primary_key"]), "foreign_keys": keys}
+        engine.constraints[name] = engine.constraints.get(name, {}) | {"primary_key": tuple(kept["primary_key"]), "required": tuple(kept.get("required", ())), "foreign_keys": keys}
         engine.register(name, frame)
     ordered = [t.name for t in in_key_order([read_table(engine, n) for n in wanted])]
     if as_tables:
         for name in ordered:
             frame = engine._frames.pop(name)
             engine.replace(name, frame)
+            keep_facts(engine, name)
     return ordered
 
 
@@ -85,20 +87,41 @@ def compare(left: DataFrame, right: DataFrame, ignore: Iterable[str] = ()) -> Da
 
 
 def compare_backups(engine: Engine, left: str, right: str, ignore: Iterable[str] = ()) -> DataFrame:
-    """For each table of two backups: its state and how many rows only one side holds."""
+    """For each table of two backups: its state and how many rows only one side holds.
+
+    States are ``same``, ``different``, ``different columns`` (all rows of each side count as only
+    its own), ``only left`` and ``only right``.  Two empty backups give no rows.
+    """
     a, b = (read_manifest(engine, x)["tables"] for x in (left, right))
-    parts = []
+    out = engine.spark.createDataFrame([], "name string, state string, only_left long, only_right long")
     for name in sorted({*a, *b}):
-        if name in a and name in b:
-            read = lambda folder, kept: engine.spark.read.schema(T.StructType.fromJson(kept["schema"])).parquet(f"{folder}/{name}")
-            found = compare(read(left, a[name]), read(right, b[name]), ignore)
+        columns = [{f["name"] for f in side[name]["schema"]["fields"]} - set(ignore) if name in side else None for side in (a, b)]
+        if columns[0] == columns[1]:
+            found = compare(*[_backed_up(engine, folder, side, name) for folder, side in ((left, a), (right, b))], ignore)
             more = lambda x, y: F.coalesce(F.sum(F.greatest(F.col(x) - F.col(y), F.lit(0))), F.lit(0))
             found = found.agg(more("left_rows", "right_rows").alias("only_left"), more("right_rows", "left_rows").alias("only_right"))
-            parts.append(found.select(F.lit(name).alias("name"), F.when((F.col("only_left") == 0) & (F.col("only_right") == 0), "same").otherwise("different").alias("state"), "only_left", "only_right"))
+            state = F.when((F.col("only_left") == 0) & (F.col("only_right") == 0), "same").otherwise("different")
+            part = found.select(F.lit(name).alias("name"), state.alias("state"), "only_left", "only_right")
         else:
-            state, rows = ("only left", a[name]["rows"]) if name in a else ("only right", b[name]["rows"])
-            parts.append(engine.spark.range(1).select(F.lit(name).alias("name"), F.lit(state).alias("state"), F.lit(rows if name in a else 0).cast("long").alias("only_left"), F.lit(rows if name in b else 0).cast("long").alias("only_right")))
-    out = parts[0]
-    for part in parts[1:]:
+            state = "different columns" if None not in columns else "only left" if name in a else "only right"
+            rows = [side[name]["rows"] if name in side else 0 for side in (a, b)]
+            part = engine.spark.createDataFrame([(name, state, *rows)], out.schema)
         out = out.unionByName(part)
     return out
+
+
+def _backed_up(engine: Engine, folder: str, manifest: dict, name: str) -> DataFrame:
+    return engine.spark.read.schema(T.StructType.fromJson(manifest[name]["schema"])).parquet(f"{folder}/{name}")
+
+
+def examples(left: DataFrame, right: DataFrame, ignore: Iterable[str] = (), most: int = 10) -> DataFrame:
+    """Rows that one side holds more often, ``most`` digests of each side at most: ``side``, ``digest`` and the columns."""
+    found = compare(left, right, ignore)
+    columns = sorted(set(left.columns) - set(ignore))
+    out = None
+    for name, frame, more in (("left", left, "left_rows > right_rows"), ("right", right, "right_rows > left_rows")):
+        few = found.where(more).orderBy("digest").select("digest").limit(most)
+        own = frame.select(digest(*columns).alias("digest"), *columns).join(F.broadcast(few), "digest", "left_semi")  # ``most`` rows
+        own = own.dropDuplicates(["digest"]).select(F.lit(name).alias("side"), "digest", *columns)
+        out = own if out is None else out.unionByName(own)
+    return out

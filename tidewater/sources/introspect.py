@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Callable
 from dataclasses import dataclass, field
+from typing import Any
 
 from tidewater.functions.scalar import glob_pattern
 from tidewater.functions.types import ColumnType, declared
@@ -43,8 +45,38 @@ class TableInfo:
     indexes: tuple[Index, ...] = field(default=())
 
 
+def facts(engine: Engine, name: str) -> dict[str, Any]:
+    """What is known of a table besides its columns; a catalog table's facts are read from its properties."""
+    if name not in engine.constraints:
+        text = engine.property(name) if engine.in_catalog(name) else None
+        engine.constraints[name] = _facts_of(json.loads(text)) if text else {}
+    return engine.constraints[name]
+
+
+def keep_facts(engine: Engine, *names: str) -> None:
+    """Write what is known of catalog tables into their properties, so that it outlives the engine."""
+    for name in names:
+        if engine.in_catalog(name):
+            engine.set_property(name, json.dumps(engine.constraints.get(name, {}), default=vars))
+
+
+def _facts_of(kept: dict[str, Any]) -> dict[str, Any]:
+    listed = lambda what: tuple({k: tuple(v) if isinstance(v, list) else v for k, v in x.items()} for x in kept.get(what, ()))
+    known: dict[str, Any] = {what: tuple(kept[what]) for what in ("primary_key", "required") if what in kept}
+    known["types"] = {column: ColumnType(**t) for column, t in kept.get("types", {}).items()}
+    known["foreign_keys"] = tuple(ForeignKey(**x) for x in listed("foreign_keys"))
+    known["indexes"] = tuple(Index(**x) for x in listed("indexes"))
+    return known
+
+
+def all_facts(engine: Engine) -> dict[str, dict[str, Any]]:
+    for name in engine.names():
+        facts(engine, name)
+    return engine.constraints
+
+
 def read_table(engine: Engine, name: str) -> TableInfo:
-    known = engine.constraints.get(name, {})
+    known = facts(engine, name)
     required = set(known.get("required", ()))
     columns = []
     for f in engine.frame(name).schema:
@@ -68,11 +100,11 @@ def read_schema(engine: Engine, wanted: Callable[[str], bool] | None = None, vis
 
 
 def foreign_keys_to(engine: Engine, table: str) -> list[ForeignKey]:
-    return [k for known in engine.constraints.values() for k in known.get("foreign_keys", ()) if k.to_table == table]
+    return [k for known in all_facts(engine).values() for k in known.get("foreign_keys", ()) if k.to_table == table]
 
 
 def foreign_keys_from(engine: Engine, table: str) -> list[ForeignKey]:
-    return list(engine.constraints.get(table, {}).get("foreign_keys", ()))
+    return list(facts(engine, table).get("foreign_keys", ()))
 
 
 def table_filter(globs: str, default_schema: str = "default") -> Callable[[str], bool]:

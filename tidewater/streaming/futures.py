@@ -10,7 +10,6 @@ from concurrent.futures import Future, ThreadPoolExecutor
 from contextlib import contextmanager
 from typing import Any
 
-from pyspark import InheritableThread  # noqa: F401  (threads of a pool keep Spark's local properties)
 from pyspark.sql import DataFrame, SparkSession
 
 log = logging.getLogger("tidewater")
@@ -63,6 +62,14 @@ class Running:
             self._spark.interruptTag(self._tag)
 
 
+def log_actions(event: str, name: str, seconds: float) -> None:
+    """A hook for ``Engine.hook``: logs what the engine itself runs."""
+    if event == "begin":
+        log.info("%s begins", name)
+    else:
+        log.log(logging.INFO if event == "end" else logging.ERROR, "%s %s after %.3f s", name, "took its course" if event == "end" else "failed", seconds)
+
+
 @contextmanager
 def logged(name: str, frame: DataFrame | None = None, level: int = logging.INFO):
     """Log an action's begin, plan (at debug) and time."""
