@@ -26,11 +26,13 @@ class Background:
         tag = f"tidewater-{uuid.uuid4().hex}"
 
         def run() -> Any:
-            self.spark.addTag(tag)
+            context = self.spark.sparkContext
+            context.addJobTag(tag)
+            context.setInterruptOnCancel(True)
             try:
                 return action(*args)
             finally:
-                self.spark.removeTag(tag)
+                context.removeJobTag(tag)
 
         return Running(self.spark, tag, self._pool.submit(run))
 
@@ -59,7 +61,7 @@ class Running:
     def cancel(self) -> None:
         """Stop it: before its start, or by interrupting its Spark jobs."""
         if not self.future.cancel():
-            self._spark.interruptTag(self._tag)
+            self._spark.sparkContext.cancelJobsWithTag(self._tag)
 
 
 def log_actions(event: str, name: str, seconds: float) -> None:
