@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -130,37 +130,31 @@ class PrefixCounter:
         ends = np.cumsum([len(c.encode()) for c in word])
         return [counts[self._last(text, int(e), END, last)[1]] + 1 for e in ends]
 
-    @staticmethod
-    def normal(text: str) -> str:
-        return lowered(_BLANKS.sub(" ", composed(text)))
-
     def _counts_of(self, words: list[str]) -> list[int]:
         cache = self.counts
         if len(cache) > CACHED:
             cache.clear()
-        fresh = {w: self.word_count(w) for w in set(words).difference(cache)}
-        cache.update((w, n) for w, n in fresh.items() if len(w) <= WORD)
-        return [cache[w] if w in cache else fresh[w] for w in words]
+        fresh = set(words).difference(cache)
+        long = {w: self.word_count(w) for w in fresh if len(w) > WORD}
+        for word in fresh.difference(long) if long else fresh:
+            cache[word] = self.word_count(word)
+        return [long[w] if w in long else cache[w] for w in words] if long else [cache[w] for w in words]
 
     def prefixes(self, text: str) -> "Prefixes":
         """The counts at all prefixes of a text, from one pass over it."""
-        parts, begins, ends, counts, chars = [], [], [], [], 0
+        pieces, words, counts = [], [], []
         marks = self.special.findall(text)
-        for k, part in enumerate(self.special.split(text)):
-            part = self.normal(part)
-            spans = [m.span() for m in self.words.finditer(part)]
-            begins += [a + chars for a, _ in spans]
-            ends += [b + chars for _, b in spans]
-            counts += self._counts_of([part[a:b] for a, b in spans])
-            parts.append(part)
-            chars += len(part)
+        for k, part in enumerate(self.special.split(text) if marks else [text]):
+            part = lowered(composed(part))
+            own = self.words.findall(part)
+            words += own
+            counts += self._counts_of(own)
+            pieces.append(part)
             if k < len(marks):  # a special token is whole or not there
-                begins.append(chars)
-                chars += len(marks[k])
-                ends.append(chars)
+                words.append(marks[k])
                 counts.append(1)
-                parts.append(marks[k])
-        return Prefixes(self, "".join(parts), np.array(begins, np.int64), np.array(ends, np.int64), np.cumsum([0, *counts]), set(marks))
+                pieces.append(marks[k])
+        return Prefixes(self, pieces, words, np.cumsum([0, *counts]), set(marks))
 
 
 _BLANKS = regex.compile(r"\s+")
@@ -175,17 +169,35 @@ class Prefixes:
     """
 
     counter: PrefixCounter
-    text: str
-    begins: np.ndarray
-    ends: np.ndarray
+    pieces: list[str]
+    words: list[str]
     totals: np.ndarray
     specials: set[str]
 
+    @cached_property
+    def text(self) -> str:
+        """The normalized text: composed, blanks joined, lower case."""
+        return "".join(_BLANKS.sub(" ", x) for x in self.pieces)
+
+    @cached_property
+    def begins(self) -> np.ndarray:
+        """Where each word begins; only blanks lie between words."""
+        found, at = [], 0
+        for word in self.words:
+            at = self.text.index(word, at)
+            found.append(at)
+            at += len(word)
+        return np.array(found, np.int64)
+
+    @cached_property
+    def ends(self) -> np.ndarray:
+        return self.begins + np.array(list(map(len, self.words)), np.int64)
+
     def count(self) -> int:
         return int(self.totals[-1])
 
     def _table(self, word: int, most: int | None = None) -> list[int] | None:
-        own = self.text[self.begins[word] : self.ends[word]]
+        own = self.words[word]
         return None if own in self.specials else self.counter.word_table(own[:most])
 
     def at(self, chars: int) -> int:
@@ -218,7 +230,7 @@ def count_tokens(docs: DataFrame, vocabulary_path: str, limit: int = 2048, text_
     """Count the tokens of every whole text at all its prefixes, and where it reaches ``limit``.
 
     Returns the columns of ``docs`` and ``_n_tokens`` and ``_fits_chars``: characters of the
-    normalized text that ``limit`` tokens hold (all of them, if the text is within the limit).
+    normalized text that ``limit`` tokens hold, null if they hold all of it.
     One pass over a text gives its prefix counts: stored totals at the words, tables inside them.
     ``with_prefixes`` adds ``_prefixes``, an array of (end, tokens) for every word of the
     normalized text, from which ``tokens_at`` and ``fits_chars`` answer other questions on
@@ -239,7 +251,7 @@ def count_tokens(docs: DataFrame, vocabulary_path: str, limit: int = 2048, text_
             for text in batch.column(names.index(text_col)).to_pylist():
                 found = counter.prefixes(text or "")
                 counts.append(found.count())
-                fits.append(found.fits(limit))
+                fits.append(found.fits(limit) if counts[-1] > limit else None)
                 if with_prefixes:
                     prefixes.append([{"end": e, "tokens": n} for e, n in zip(found.ends.tolist(), found.totals[1:].tolist())])
             new = [pa.array(counts, pa.int64()), pa.array(fits, pa.int64())]
