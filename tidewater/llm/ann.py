@@ -10,7 +10,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewater.llm.vectors import cosines, matrix, rotation, usable
+from tidewater.llm.cluster import cut
+from tidewater.llm.vectors import matrix, norms, rotation, usable
 
 PLANES = 6  # bits of a rotated query's components
 
@@ -49,15 +50,6 @@ class Query:
         return product / own, error
 
 
-def _top(ids: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
-    """Places of the k best scores of different ids, ties to the smaller id."""
-    order = np.lexsort((ids, -scores))
-    if len(order) > k:
-        first = np.unique(ids[order], return_index=True)[1]
-        order = order[np.sort(first)]
-    return order[:k]
-
-
 def nearest(
     vectors: DataFrame, is_query: Column, k: int = 5, sure: float = 3.5, block: int = 16_384, queries_block: int = 4_096,
     seed: int = 7, id_col: str = "vec_id", vector_col: str = "embedding",
@@ -66,9 +58,11 @@ def nearest(
 
     Every vector is rotated at random and kept as one bit for each component with its code's
     inner product.  A query's inner products with all codes are estimated from popcounts, each
-    with an error bound; vectors whose upper bound reaches the k-th best lower bound are reranked
-    by the exact cosine.  Queries meet the codes in blocks: a grid of ``block`` vectors by
-    ``queries_block`` queries, cut finely enough to use all tasks; each cell keeps k rows a query.
+    with an error bound.  Queries meet the codes in blocks: a grid of ``block`` vectors by
+    ``queries_block`` queries, cut finely enough to use all tasks; each cell passes on the vectors
+    whose upper bound reaches its own k-th best lower bound, and of these stay those that reach the
+    k-th best of all cells.  Only they fetch their vectors, to be reranked by the exact cosine:
+    what is repeated for the grid is a bit for each component and two numbers.
 
     Returns ``query_id``, ``rank`` (int from 1), ``vec_id`` and ``score``, nearest first, ties to
     the smaller id.  Vectors that are null, zero, or hold null or non-finite components, and rows
@@ -77,8 +71,9 @@ def nearest(
     repeats is answered by its best scores.  Fewer candidates than k give fewer rows.
     """
     tasks = max(1, vectors.sparkSession.sparkContext.defaultParallelism)
+    narrow = vectors.schema[vector_col].dataType.simpleString() == "array<float>"
     good = vectors.where(F.col(id_col).isNotNull() & usable(vector_col)).select(
-        F.col(id_col).alias("id"), F.col(vector_col).cast("array<double>").alias("v"), F.coalesce(is_query, F.lit(False)).alias("q")
+        F.col(id_col).alias("id"), F.col(vector_col).cast("array<float>" if narrow else "array<double>").alias("v"), F.coalesce(is_query, F.lit(False)).alias("q")
     )
     id_type = good.schema["id"].dataType.simpleString()
 
@@ -87,7 +82,7 @@ def nearest(
         for batch in batches:
             vs = batch.column(1).to_pylist()
             codes, owns = [b""] * len(vs), [0.0] * len(vs)
-            raw = [np.array(v, np.float64).tobytes() for v in vs]
+            raw = [np.array(v, np.float64).tobytes() if q else None for v, q in zip(vs, batch.column(2).to_pylist())]
             dims = np.array([len(v) for v in vs])
             for d in np.unique(dims).tolist():
                 turn = turns.setdefault(d, rotation(_padded(d), seed))
@@ -105,7 +100,7 @@ def nearest(
     high, wide = max(1, -(-n // block), min(3 * tasks, n // 1024)), max(1, -(-n_queries // queries_block))
     dealt = lambda many: F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(many)).cast("int")
     every = lambda many: F.explode(F.sequence(F.lit(0), F.lit(many - 1)))
-    data = indexed.withColumn("row", dealt(high)).withColumn("col", every(wide)).drop("q")
+    data = indexed.drop("raw", "q").withColumn("row", dealt(high)).withColumn("col", every(wide))
     asked = indexed.where("q").withColumn("col", dealt(wide)).withColumn("row", every(high)).select("id", "d", "raw", "row", "col")
 
     def search(data: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
@@ -113,8 +108,7 @@ def nearest(
         if len(data) and len(asked):
             d = int(asked["d"].iloc[0])
             turn = rotation(_padded(d), seed)
-            rows = matrix([np.frombuffer(x, np.float64) for x in data["raw"]])
-            codes = np.frombuffer(b"".join(data["code"]), np.uint64).reshape(len(rows), -1)
+            codes = np.frombuffer(b"".join(data["code"]), np.uint64).reshape(len(data), -1)
             ones, own, ids = np.bitwise_count(codes).sum(axis=1, dtype=np.int64), data["own"].to_numpy(), data["id"].to_numpy()
             repeats = len(np.unique(ids)) < len(ids)
             for query_id, raw in zip(asked["id"], asked["raw"]):
@@ -127,12 +121,26 @@ def nearest(
                     best = pd.Series(low).groupby(ids).max().nlargest(k)
                     bar = best.iloc[-1] if len(best) == k else -np.inf
                 chosen = np.flatnonzero(other & (about + error >= bar))
-                scores = cosines(row, rows[chosen])
-                best = _top(ids[chosen], scores, k)
-                found.append(pd.DataFrame({"query_id": query_id, "vec_id": ids[chosen][best], "score": scores[best]}))
-        return pd.concat(found) if found else pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
+                found.append(pd.DataFrame({"query_id": query_id, "vec_id": ids[chosen], "low": low[chosen], "high": (about + error)[chosen]}))
+        return pd.concat(found) if found else pd.DataFrame({"query_id": [], "vec_id": [], "low": [], "high": []})
 
-    cells = data.groupBy("row", "col", "d").cogroup(asked.groupBy("row", "col", "d")).applyInPandas(search, f"query_id {id_type}, vec_id {id_type}, score double")
-    best = cells.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+    def rerank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            dims, scores = np.array([len(v) for v in batch.column(2)]), np.zeros(batch.num_rows)
+            for d in np.unique(dims):
+                at = np.flatnonzero(dims == d)
+                mine, theirs = (matrix(batch.column(c).take(pa.array(at)).to_pylist()) for c in (2, 3))
+                scores[at] = (theirs * mine).sum(axis=1) / (norms(theirs) * norms(mine))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(scores)], ["query_id", "vec_id", "score"])
+
+    cells = data.groupBy("row", "col", "d").cogroup(asked.groupBy("row", "col", "d")).applyInPandas(search, f"query_id {id_type}, vec_id {id_type}, low double, high double")
+    likely = cut(cells.groupBy("query_id", "vec_id").agg(F.max("low").alias("low"), F.max("high").alias("high")))
+    by_low = likely.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("low").desc()))).where(F.col("rank") <= k)
+    bars = by_low.groupBy("query_id").agg(F.when(F.count(F.lit(1)) == k, F.min("low")).alias("bar"))
+    chosen = likely.join(bars, "query_id").where(F.col("bar").isNull() | (F.col("high") >= F.col("bar"))).select("query_id", "vec_id")
+    met = chosen.join(good.where("q").select(F.col("id").alias("query_id"), F.col("v").alias("mine")), "query_id")
+    met = met.join(good.select(F.col("id").alias("vec_id"), F.col("v").alias("theirs")), "vec_id").where(F.size("mine") == F.size("theirs"))
+    exact = met.select("query_id", "vec_id", "mine", "theirs").mapInArrow(rerank, f"query_id {id_type}, vec_id {id_type}, score double")
+    best = exact.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     ranked = best.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")))
     return ranked.where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

@@ -27,8 +27,3 @@ def matrix(column) -> np.ndarray:
 
 def norms(rows: np.ndarray) -> np.ndarray:
     return np.sqrt((rows * rows).sum(axis=1))
-
-
-def cosines(row: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    """The cosine of one vector with others, in double precision and the same for equal vectors."""
-    return (rows * row).sum(axis=1) / (norms(rows) * np.sqrt((row * row).sum()))
