@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewater.llm.byte_bpe import encode_decode
-from tidewater.llm.cluster import broadcast_if_small, checkpoint_folder, cut
+from tidewater.llm.cluster import broadcast_if_small, checkpoint_folder, cut, delete_folder
 from tidewater.llm.language_id import UNKNOWN, identify_language, is_held_out, train_language_id
 from tidewater.llm.line_dedup import dedup_lines
 from tidewater.llm.mixing import mixed_documents
@@ -73,7 +73,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; what a stage returns is written to the shared folder and read again."""
+    """All stages over ``documents``; what a stage returns is written to the shared folder and read again.
+
+    What a later stage has replaced is deleted; the last stage's input stays, as the result reads it.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     folder = os.path.join(checkpoint_folder(spark), f"pipeline-{uuid.uuid4()}")
     for k, (_, stage) in enumerate(STAGES):
@@ -81,4 +84,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         if k + 1 < len(STAGES):
             docs.write.parquet(f"{folder}/{k}")
             docs = spark.read.parquet(f"{folder}/{k}")
+            if k:
+                delete_folder(spark, f"{folder}/{k - 1}")
     return docs

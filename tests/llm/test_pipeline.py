@@ -36,6 +36,33 @@ def test_stages(spark, corpus, tmp_path):
     assert sorted(map(str, whole.collect())) == sorted(map(str, kept[4]))
 
 
+def test_odd_texts_and_an_empty_table(spark, odd_texts, tmp_path):
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    schema = "doc_id bigint, text string, lang string, source string, n_chars bigint"
+    for name, texts in (("odd", odd_texts), ("empty", [])):
+        rows = [(k, t, "en" if k % 2 else "de", None if k % 3 else "s", len(t or "")) for k, t in enumerate(texts)]
+        rows += rows[3:4] + [(None, "text of no one", "en", "s", 14)] * bool(rows)
+        spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        made = corpus_pipeline.run(spark, f"{tmp_path}/{name}").collect()
+        whole = {hashlib.sha256((t or "").encode()).hexdigest() for _, t, *_ in rows}
+        assert {r["decoded_sha256"] for r in made} <= whole and bool(made) == bool(rows)
+        if rows:  # the long ones go through whole
+            assert {r["n_tokens"] for r in made if r["doc_id"] == 3} and max(r["n_tokens"] for r in made) > 60_000
+
+
+def test_what_stages_have_read_is_deleted(spark, corpus, tmp_path):
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    rows = [(d, t, lang, source, len(t)) for d, t, source, lang in corpus[:30]]
+    spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint").write.parquet(f"{tmp_path}/documents.parquet")
+    from tidewater.llm.cluster import checkpoint_folder
+
+    folder = checkpoint_folder(spark).removeprefix("file:")
+    before = set(os.listdir(folder))
+    assert corpus_pipeline.run(spark, str(tmp_path)).count()
+    (made,) = [x for x in set(os.listdir(folder)) - before if x.startswith("pipeline-")]
+    assert os.listdir(f"{folder}/{made}") == ["3"]
+
+
 def test_queries_and_sql_agree_in_name():
     from tidewater.llm.queries import ORACLE_SQL, QUERIES
 

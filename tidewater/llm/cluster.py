@@ -27,6 +27,12 @@ def checkpoint_folder(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
+def delete_folder(spark: SparkSession, folder: str) -> None:
+    """Delete a folder of whatever store Spark reads."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def cut(df: DataFrame, rows: int | None = None) -> DataFrame:
     """Write ``df`` to the shared checkpoint folder and read it from there.
 
