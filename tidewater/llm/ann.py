@@ -29,6 +29,16 @@ def encode(rows: np.ndarray, turn: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.packbits(bits, axis=1, bitorder="little").view(np.uint64), np.abs(turned).sum(axis=1) / np.sqrt(d)
 
 
+class Codes:
+    """A block of codes, word by word, with what every estimate needs of them."""
+
+    def __init__(self, packed: list[bytes], own: np.ndarray):
+        self.words = np.ascontiguousarray(np.frombuffer(b"".join(packed), np.uint64).reshape(len(packed), -1).T)
+        self.ones = sum(np.bitwise_count(w).astype(np.int64) for w in self.words)
+        self.inverse = 1 / own
+        self.spread = np.sqrt(np.maximum(0, 1 - own**2) / max(1, 64 * len(self.words) - 1)) * self.inverse
+
+
 class Query:
     """A query's rotated components on a grid of 2**PLANES steps, as bit planes."""
 
@@ -41,13 +51,14 @@ class Query:
         self.planes = [np.packbits((grid >> j) & 1, bitorder="little").view(np.uint64) for j in range(PLANES)]
         self.total, self.root = self.low * d + self.step * grid.sum(), np.sqrt(d)
 
-    def estimate(self, codes: np.ndarray, ones: np.ndarray, own: np.ndarray, sure: float) -> tuple[np.ndarray, np.ndarray]:
+    def estimate(self, codes: Codes, sure: float) -> tuple[np.ndarray, np.ndarray]:
         """Estimated cosines with coded vectors and how far off they may be, ``sure`` deviations out."""
-        weighted = sum((1 << j) * np.bitwise_count(codes & plane).sum(axis=1, dtype=np.int64) for j, plane in enumerate(self.planes))
-        product = (2 * (self.low * ones + self.step * weighted) - self.total) / self.root
-        d = self.root**2
-        error = sure * (np.sqrt(np.maximum(0, 1 - own**2) / max(1, d - 1)) + self.step / np.sqrt(12)) / own
-        return product / own, error
+        weighted = np.zeros(len(codes.ones), np.int32)
+        for j, plane in enumerate(self.planes):
+            for word, own in zip(codes.words, plane):
+                weighted += np.bitwise_count(word & own).astype(np.int32) << j
+        product = (2 * (self.low * codes.ones + self.step * weighted) - self.total) / self.root
+        return product * codes.inverse, sure * (codes.spread + self.step / np.sqrt(12) * codes.inverse)
 
 
 def nearest(
@@ -108,21 +119,21 @@ def nearest(
         if len(data) and len(asked):
             d = int(asked["d"].iloc[0])
             turn = rotation(_padded(d), seed)
-            codes = np.frombuffer(b"".join(data["code"]), np.uint64).reshape(len(data), -1)
-            ones, own, ids = np.bitwise_count(codes).sum(axis=1, dtype=np.int64), data["own"].to_numpy(), data["id"].to_numpy()
+            codes, ids = Codes(data["code"].tolist(), data["own"].to_numpy()), data["id"].to_numpy()
             repeats = len(np.unique(ids)) < len(ids)
             for query_id, raw in zip(asked["id"], asked["raw"]):
                 row = matrix([np.frombuffer(raw, np.float64)])[0]
-                about, error = Query(row, turn).estimate(codes, ones, own, sure)
+                about, error = Query(row, turn).estimate(codes, sure)
                 other = ids != query_id
-                low = np.where(other, about - error, -np.inf)
+                low, high = np.where(other, about - error, -np.inf), about + error
                 bar = np.partition(low, -k)[-k] if len(low) > k else -np.inf
                 if repeats and len(low) > k:  # the bar is that of k different ids
                     best = pd.Series(low).groupby(ids).max().nlargest(k)
                     bar = best.iloc[-1] if len(best) == k else -np.inf
-                chosen = np.flatnonzero(other & (about + error >= bar))
-                found.append(pd.DataFrame({"query_id": query_id, "vec_id": ids[chosen], "low": low[chosen], "high": (about + error)[chosen]}))
-        return pd.concat(found) if found else pd.DataFrame({"query_id": [], "vec_id": [], "low": [], "high": []})
+                chosen = np.flatnonzero(other & (high >= bar))
+                found.append((np.full(len(chosen), query_id), ids[chosen], low[chosen], high[chosen]))
+        names = ["query_id", "vec_id", "low", "high"]
+        return pd.DataFrame(dict(zip(names, map(np.concatenate, zip(*found)))) if found else {n: [] for n in names})
 
     def rerank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
