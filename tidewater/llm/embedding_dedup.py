@@ -46,7 +46,7 @@ class CapFilters:
         return number // last * -(-last // SPAN) + number % last // SPAN
 
 
-def plan_filters(n: int, d: int, cosine: float, members: int = 48, missed: float = 1e-2, seed: int = 3) -> CapFilters:
+def plan_filters(n: int, d: int, cosine: float, members: int = 48, missed: float = 1e-3, seed: int = 3) -> CapFilters:
     """Filters for ``n`` vectors: about ``members`` random vectors exceed one, whatever ``n`` is.
 
     The number of directions is such that two vectors at the cosine share one but for a share
