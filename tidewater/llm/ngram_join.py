@@ -25,11 +25,12 @@ from tidewater.llm.cluster import EDGES, broadcast_if_small, components, cut
 from tidewater.llm.words import mix, raw_texts, shingle_sets, slices
 
 MU = 0.003  # weighs merging a list against probing it
-COUNTERS = 1 << 24  # of the sketch that ranks lists, at most
+COUNTERS = 1 << 23  # of the sketch that ranks lists, at most; of 16 bits in a task, where they stop at 65,535
 SEGMENT = 1 << 16
 FAN_IN = 32
 CELLS = 64  # of the histogram of a set that bounds overlaps
 BATCH = 1 << 14  # postings of much the same lists that come to one task, about
+TASKS = 20_000  # that lists are dealt to, at most
 LIST = 1 << 15  # sets of a merged list that meet in one task; longer lists are dealt into a grid
 PAIRS = 1 << 18  # different pairs that a task holds before it passes them on
 FEW = 4  # the first turns look at one in so many of the merged lists
@@ -61,8 +62,8 @@ def _long_lists(n: np.ndarray, percent: int, longest: int) -> np.ndarray:
 def list_lengths(docs: DataFrame, text_col: str, k: int) -> np.ndarray:
     """Base-2 logarithms of upper bounds of the lengths of inverted lists, by the hash of a shingle.
 
-    A counting sketch with about a counter for each word of the input, 2**24 at most, merged in a
-    tree over the partitions.  It only ranks lists: its errors cost time and never change a
+    A counting sketch with about a counter for each word of the input, 2**23 at most, merged in a
+    tree over the partitions; a task's counters stop at 65,535, more than LIST.  It only ranks lists: its errors cost time and never change a
     result.
     """
     words = (docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0) // 6
@@ -71,12 +72,12 @@ def list_lengths(docs: DataFrame, text_col: str, k: int) -> np.ndarray:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        counts = np.zeros(counters, np.uint32)
+        counts = np.zeros(counters, np.uint16)
         for batch in slices(batches):
             sets = list(shingle_sets(raw_texts(batch.column(0)), k))
             if sets:
                 places, n = np.unique((np.concatenate(sets) & np.uint64(counters - 1)).astype(np.int64), return_counts=True)
-                counts[places] += n.astype(np.uint32)
+                counts[places] = np.minimum(counts[places] + n, 65_535)
         for s in range(0, counters, SEGMENT):
             own = counts[s : s + SEGMENT]
             if own.any():
@@ -88,12 +89,12 @@ def list_lengths(docs: DataFrame, text_col: str, k: int) -> np.ndarray:
     def merge(pdf: pd.DataFrame) -> pd.DataFrame:
         total = np.zeros(SEGMENT, np.uint64)
         for x in pdf["counts"]:
-            total += np.frombuffer(zlib.decompress(x), np.uint32)
-        packed = zlib.compress(np.minimum(total, 2**32 - 1).astype(np.uint32).tobytes(), 1)
+            total += np.frombuffer(zlib.decompress(x), np.uint16)
+        packed = zlib.compress(np.minimum(total, 65_535).astype(np.uint16).tobytes(), 1)
         return pd.DataFrame({"segment": pdf["segment"].iloc[:1], "slot": pdf["slot"].iloc[:1] // FAN_IN, "counts": [packed]})
 
     def logs(pdf: pd.DataFrame) -> pd.DataFrame:
-        counts = np.frombuffer(zlib.decompress(merge(pdf)["counts"][0]), np.uint32)
+        counts = np.frombuffer(zlib.decompress(merge(pdf)["counts"][0]), np.uint16)
         return pd.DataFrame({"segment": pdf["segment"].iloc[:1], "logs": [zlib.compress(np.ceil(np.log2(counts.astype(np.float64) + 1)).astype(np.uint8).tobytes(), 1)]})
 
     schema = "segment int, slot int, counts binary"
@@ -222,7 +223,7 @@ def _merged_lists(classes: DataFrame, percent: int) -> DataFrame:
     many = merged.groupBy("leader").agg(F.ceil(F.count(F.lit(1)) / BATCH).alias("parts")).where("parts > 1")
     wide = merged.join(able.drop("longs"), "id").join(broadcast_if_small(cut(many), 100_000), "leader", "left")
     wide = wide.withColumn("part", F.when(F.col("parts").isNotNull(), F.expr("pmod(xxhash64(gram), parts)")).otherwise(0))
-    return cut(_in_pieces(wide.select("gram", "piece", "id", "n", "c", "cells", "leader", "part"), "leader", "part", tasks=merged.count() // BATCH + 1))
+    return cut(_in_pieces(wide.select("gram", "piece", "id", "n", "c", "cells", "leader", "part"), "leader", "part", tasks=min(TASKS, merged.count() // BATCH + 1)))
 
 
 def _cells(column: pa.ChunkedArray) -> np.ndarray:
