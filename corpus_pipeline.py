@@ -3,10 +3,15 @@
 Each stage takes (spark, docs, sf_dir) and returns a frame that is written and read again as the
 next stage's documents.  Ids may repeat or be null and texts may be null or empty anywhere: no
 stage drops a document for that, except that a text without letters has no language.
+
+Documents reach Python in batches of about a thousand rows: the stages set the session to that
+where it takes more, as ten thousand long texts, once in the executor's JVM and once in each of its
+Python workers, are hundreds of megabytes.
 """
 
 from __future__ import annotations
 
+import functools
 import os
 import uuid
 
@@ -21,6 +26,18 @@ from tidewater.llm.line_dedup import dedup_lines
 from tidewater.llm.mixing import mixed_documents
 from tidewater.llm.ngram_join import jaccard_groups
 
+BATCH_ROWS, ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 1024
+
+
+def _in_small_batches(stage):
+    @functools.wraps(stage)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        if int(spark.conf.get(BATCH_ROWS)) > ROWS or int(spark.conf.get(BATCH_ROWS)) <= 0:
+            spark.conf.set(BATCH_ROWS, str(ROWS))
+        return stage(spark, docs, sf_dir)
+
+    return run_stage
+
 
 def identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is clear; the learned classifier rejects the others."""
@@ -61,11 +78,11 @@ def tokenized(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES = [
-    ("language ID", identified),
-    ("line dedup", without_shared_lines),
-    ("n-gram Jaccard join", without_near_copies),
+    ("language ID", _in_small_batches(identified)),
+    ("line dedup", _in_small_batches(without_shared_lines)),
+    ("n-gram Jaccard join", _in_small_batches(without_near_copies)),
     ("mixing sources to target weights", mixed),
-    ("byte-level BPE encoding and decoding", tokenized),
+    ("byte-level BPE encoding and decoding", _in_small_batches(tokenized)),
 ]
 
 # SQL can express neither the classifier nor the merges; tests hold the stages against brute force.
