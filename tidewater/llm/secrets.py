@@ -21,6 +21,7 @@ PARTS = {
     "endpoint": r"(?:https?|jdbc:[a-z]+|postgres(?:ql)?|mysql|mongodb(?:\+srv)?|redis|amqps?|s3)://[^\x20\x09-\x0D\"'<>]{4,}",
 }
 KINDS = [*BASE, *PARTS]
+NEEDED = {"access": "AKIA", "endpoint": "://"}  # texts without it hold no match
 SECRETS, PARTNERS = ["assign", "key", "hex"], ["access", "identifier", "endpoint"]
 
 
@@ -33,6 +34,12 @@ def _accepted(kind: Column, match: Column) -> Column:
     )
 
 
+def _matches(text: Column, kind: str, pattern: str) -> Column:
+    """All matches, or null for a text that can't hold any."""
+    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    return F.when(text.contains(NEEDED[kind]), found) if kind in NEEDED else found
+
+
 def _buckets(begin: Column, end: Column, width: int) -> Column:
     return F.explode(F.sequence(F.floor(begin / width), F.floor(end / width)))
 
@@ -55,7 +62,7 @@ def find_secrets(docs: DataFrame, reach: int = 200, text_col: str = "text") -> D
         F.monotonically_increasing_id().alias("_row"),
         F.struct(*[F.col(f"`{c}`") for c in others]).alias("_own"),
         F.coalesce(F.col(text_col), F.lit("")).alias("_text"),
-        *[F.regexp_extract_all(F.coalesce(F.col(text_col), F.lit("")), F.lit(p), F.lit(0)).alias(f"_m_{k}") for k, p in (BASE | PARTS).items()],
+        *[_matches(F.coalesce(F.col(text_col), F.lit("")), k, p).alias(f"_m_{k}") for k, p in (BASE | PARTS).items()],
     )
     # what stands before each match gives its place
     gaps = {k: F.when(F.size(f"_m_{k}") > 0, F.transform(F.split("_text", p, -1), F.length)) for k, p in (BASE | PARTS).items()}
