@@ -553,7 +553,7 @@ def test_secrets(spark, odd_texts):
         f"https://db.example.org/x {key}\nlater " + "y " * 300 + "https://far.example.org",
         " ".join(f"token={i:08x}cafe" for i in range(2000)),
     ]
-    docs = spark.createDataFrame([(k, t, "s", None) for k, t in enumerate(texts)] + [r for r in odd([*odd_texts[:3], *odd_texts[4:]])], DOCS).withColumn("start", F.lit(1)).withColumn("kind", F.lit("x"))
+    docs = spark.createDataFrame([(k, t, "s", None) for k, t in enumerate(texts)] + odd(odd_texts), DOCS).withColumn("start", F.lit(1)).withColumn("kind", F.lit("x"))
     rows = find_secrets(docs).join(docs.select(F.col("doc_id").alias("i"), "source", F.col("text").alias("t")).distinct(), (F.col("doc_id").eqNullSafe(F.col("i"))) & F.lit(True)).collect()
     assert find_secrets(docs).count() == docs.count() and find_secrets(docs.limit(0)).count() == 0
     spans = {r["doc_id"]: [(s["start"], s["kind"], s["end"]) for s in r["_spans"]] for r in find_secrets(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")).collect()}
