@@ -218,6 +218,18 @@ def test_new_keys_of_repeated_rows_and_many_parts(spark, monkeypatch):
     assert sorted(r["id"] for r in keyed.collect()) == list(range(1, 301)) and keyed.where("name = '0'").count() == 200
 
 
+def test_tables_of_a_server_by_jdbc(spark):
+    url, options = "jdbc:derby:memory:tidewater;create=true", {"driver": "org.apache.derby.iapi.jdbc.AutoloadedDriver"}
+    try:
+        spark.range(100).selectExpr("id AS ID", "concat('n', id) AS NAME").write.jdbc(url, "PEOPLE", "overwrite", options)
+    except Exception as e:  # not every build brings the driver
+        pytest.skip(f"no JDBC driver here: {str(e)[:80]}")
+    e = Engine(spark).read_jdbc("people", url, "PEOPLE", partition=("ID", 0, 100, 4), **options)
+    assert e.frame("people").rdd.getNumPartitions() == 4
+    found = e.table("people").fields("ID", "NAME").where("ID", ">=", 97).order_by("ID").all().collect()
+    assert [(r["ID"], r["NAME"]) for r in found] == [(97, "n97"), (98, "n98"), (99, "n99")]
+
+
 def test_batches(spark):
     e = Engine(spark)
     spark.sql("DROP TABLE IF EXISTS batch")
