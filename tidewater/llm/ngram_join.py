@@ -377,7 +377,8 @@ def _linked(pairs: DataFrame, docs: DataFrame, lengths, k: int, percent: int) ->
 
     wanted = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
     texts = docs.join(broadcast_if_small(wanted, 500_000), "id", "left_semi")
-    own = texts.mapInArrow(sets, "id long, own binary")
+    # merge joins part the Python steps: in one stage each task would hold three workers
+    own = texts.mapInArrow(sets, "id long, own binary").hint("merge")
     met = pairs.join(own.select(F.col("id").alias("a"), F.col("own").alias("left")), "a").join(own.select(F.col("id").alias("b"), F.col("own").alias("right")), "b")
     return met.select("a", "b", "left", "right").mapInArrow(probe, "a long, b long")
 
